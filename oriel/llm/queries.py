@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from oriel.llm import fingerprint, langid, mixing, packing, substring, topk, toxicity
+from oriel.llm import fingerprint, langid, mixing, ngram_join, packing, substring, topk, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_language_id": langid.op5_language_id,
     "op6_fingerprints": fingerprint.op6_fingerprints,
+    "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_packing": packing.op8_packing,
     "op9_topk": topk.op9_topk,
     "op10_mixing": mixing.op10_mixing,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_substring_dedup": substring.ORACLE,
+    "op7_ngram_jaccard": ngram_join.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
