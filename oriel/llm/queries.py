@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from oriel.llm import fingerprint, langid, mixing, ngram_join, packing, substring, topk, toxicity
+import corpus_pipeline
+from oriel.llm import chat, fingerprint, langid, mixing, ngram_join, packing, pii, substring, topk, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_chat": chat.op3_chat,
+    "op4_pii": pii.op4_pii,
     "op5_language_id": langid.op5_language_id,
     "op6_fingerprints": fingerprint.op6_fingerprints,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_packing": packing.op8_packing,
     "op9_topk": topk.op9_topk,
     "op10_mixing": mixing.op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
@@ -21,3 +25,6 @@ ORACLES = {
     "op9_topk": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
