@@ -1,12 +1,144 @@
-"""Fixpoint operators over edge tables: loops of joins whose lineage is cut each round."""
+"""Fixpoint operators over edge tables.
+
+Two forms compute the same: below ``ONE_TASK`` edges (checked by counting) one task walks the edges in
+memory, above it a loop of joins runs on the cluster, with its lineage cut each round. The loops double
+path lengths, so their rounds grow with the logarithm of the depth.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oriel.ship import ship
 from oriel.storage import materialise
 
+ONE_TASK = 200_000
+
+
+def _small(edges: DataFrame, limit: int) -> bool:
+    return edges.limit(limit + 1).count() <= limit
+
+
+def _in_one_task(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, schema)
+
+
+def _reach(start: str, nexts: dict[str, list[str]]) -> set[str]:
+    seen: set[str] = set()
+    stack = list(nexts.get(start, ()))
+    while stack:
+        node = stack.pop()
+        if node not in seen:
+            seen.add(node)
+            stack.extend(nexts.get(node, ()))
+    return seen
+
+
+def closure_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    nexts = defaultdict(list)
+    for a, b in zip(pdf["a"], pdf["b"], strict=True):
+        nexts[a].append(b)
+    rows = [(a, b) for a in list(nexts) for b in _reach(a, nexts)]
+    return pd.DataFrame(rows, columns=["a", "b"])
+
+
+def transitive_closure(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``a, b``: every node and what it reaches over one edge or more. Cycles reach themselves."""
+    edges = edges.select("a", "b").where("a is not null and b is not null").distinct()
+    if _small(edges, one_task):
+        return _in_one_task(edges, closure_pairs, "a string, b string")
+    known = materialise(edges, "closure")
+    count = known.count()
+    while True:
+        step = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+        known = materialise(known.union(step).distinct(), "closure")
+        grown = known.count()
+        if grown == count:
+            return known
+        count = grown
+
+
+def descendants(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``a, b``: every node and all that is below it, itself included."""
+    pairs = transitive_closure(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), one_task)
+    nodes = edges.select("a").union(edges.select("b")).distinct()
+    return pairs.union(nodes.select("a", F.col("a").alias("b"))).distinct()
+
+
+def depths(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Longest path to a root; an edge within a cycle counts nothing."""
+    nexts = defaultdict(list)
+    nodes = dict.fromkeys([*pdf["a"], *pdf["b"]])
+    for a, b in zip(pdf["a"], pdf["b"], strict=True):
+        nexts[a].append(b)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    group: dict[str, int] = {}
+    path: list[str] = []
+    depth: dict[int, int] = {}
+    for root in nodes:
+        if root in index:
+            continue
+        work = [(root, iter(nexts.get(root, ())))]
+        index[root] = low[root] = len(index)
+        path.append(root)
+        while work:
+            node, rest = work[-1]
+            for other in rest:
+                if other not in index:
+                    index[other] = low[other] = len(index)
+                    path.append(other)
+                    work.append((other, iter(nexts.get(other, ()))))
+                    break
+                if other not in group:
+                    low[node] = min(low[node], index[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    own = len(depth)
+                    members = []
+                    while True:
+                        member = path.pop()
+                        group[member] = own
+                        members.append(member)
+                        if member == node:
+                            break
+                    depth[own] = max((depth[group[n]] + 1 for m in members for n in nexts.get(m, ()) if group[n] != own), default=0)
+    return pd.DataFrame([(n, depth[group[n]]) for n in nodes], columns=["node", "depth"])
+
+
+def depth(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``node, depth``: the longest way up, over the condensation of cycles.
+
+    The distributed form takes the closure and doubles known longest paths between its pairs.
+    """
+    edges = edges.select("a", "b").where("a is not null and b is not null").distinct()
+    if _small(edges, one_task):
+        return _in_one_task(edges, depths, "node string, depth long")
+    pairs = transitive_closure(edges, one_task)
+    mutual = pairs.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).groupBy("a").agg(F.min("b").alias("g")).select(F.col("a").alias("n"), "g")
+    name = lambda df, c: df.join(mutual.withColumnRenamed("n", c), c, "left").withColumn(c, F.coalesce("g", c)).drop("g")
+    longest = materialise(name(name(edges, "a"), "b").where("a <> b").select("a", "b", F.lit(1).cast("long").alias("d")).distinct(), "depth")
+    total = None
+    while True:
+        more = longest.alias("x").join(longest.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.d") + F.col("y.d")).alias("d"))
+        longest = materialise(longest.union(more).groupBy("a", "b").agg(F.max("d").alias("d")), "depth")
+        state = longest.agg(F.count("*"), F.sum("d")).first()
+        if tuple(state) == total:
+            break
+        total = tuple(state)
+    best = longest.groupBy("a").agg(F.max("d").alias("d"))
+    nodes = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "node").join(mutual, F.col("node") == F.col("n"), "left").withColumn("r", F.coalesce("g", "node"))
+    return nodes.join(best, F.col("r") == F.col("a"), "left").select("node", F.coalesce("d", F.lit(0)).cast("long").alias("depth"))
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component``: the least node that each node of an edge is connected to.
@@ -29,3 +161,50 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         last = (state["n"], state["h"])
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def frontier(roots: DataFrame, triples: DataFrame) -> DataFrame:
+    """Concise bounded descriptions: ``root`` and the triples of each root, through blank objects."""
+    found = triples.join(roots.select(F.col("s").alias("root")).distinct(), F.col("s") == F.col("root"))
+    out, seen = found, None
+    while True:
+        found = materialise(found, "description")
+        inner = found.where("o_kind = 1").select("root", F.col("o").alias("s")).distinct()
+        seen = inner if seen is None else seen
+        if inner.isEmpty():
+            return out.distinct()
+        found = triples.join(inner, "s").select("root", *triples.columns)
+        known = out.select("root", "s").distinct()
+        found = found.join(known, ["root", "s"], "left_anti").select("root", *triples.columns)
+        if out is not None:
+            out = materialise(out.select("root", *triples.columns).unionByName(found), "description")
+
+
+def list_members(first: DataFrame, rest: DataFrame, nil: str) -> DataFrame:
+    """``head, position, member`` of RDF collections; ``first`` and ``rest`` have ``a, b``. Cycles end there.
+
+    Pointer doubling: each round doubles how far every cell sees ahead.
+    """
+    ahead = materialise(rest.where(F.col("b") != nil).select("a", "b", F.lit(1).cast("long").alias("d")).distinct(), "list")
+    heads = first.select("a").distinct().join(rest.select(F.col("b").alias("a")), "a", "left_anti")
+    reach = materialise(heads.select(F.col("a").alias("head"), F.col("a").alias("cell"), F.lit(0).cast("long").alias("position")), "list")
+    jump = ahead
+    while not jump.isEmpty():
+        further = reach.join(jump, F.col("cell") == F.col("a")).select("head", F.col("b").alias("cell"), (F.col("position") + F.col("d")).alias("position"))
+        grown = materialise(reach.unionByName(further).groupBy("head", "cell").agg(F.min("position").alias("position")), "list")
+        if grown.count() == reach.count():
+            break
+        reach = grown
+        jump = materialise(jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.d") + F.col("y.d")).alias("d")).where("a <> b"), "list")
+    return reach.join(first.select(F.col("a").alias("cell"), F.col("b").alias("member")), "cell").select("head", "position", "member")
+
+
+def nearest_named(triples: DataFrame, hops: int = 4) -> DataFrame:
+    """``node, owner``: for blank nodes, the least IRI among the nearest that lead to them in ``hops`` steps."""
+    incoming = triples.where("o_kind = 1").select(F.col("o").alias("node"), F.col("s").alias("up"), F.col("s_kind").alias("k")).distinct()
+    state = incoming
+    found = state.where("k = 0").select("node", F.col("up").alias("owner"), F.lit(1).alias("d"))
+    for i in range(2, hops + 1):
+        state = state.where("k = 1").alias("x").join(incoming.alias("y"), F.col("x.up") == F.col("y.node")).select(F.col("x.node"), F.col("y.up"), F.col("y.k")).distinct()
+        found = found.unionByName(state.where("k = 0").select("node", F.col("up").alias("owner"), F.lit(i).alias("d")))
+    return found.groupBy("node").agg(F.min(F.struct("d", "owner")).alias("m")).select("node", "m.owner")

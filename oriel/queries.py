@@ -1,4 +1,124 @@
 """Queries over the test tables, one for each operator, and their SQL twins."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from oriel import demo, findings
+from oriel import terms as t
+from oriel.operators import checks
+from oriel.relational import quads_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_Q = f"q AS ({quads_sql(demo.COLUMNS, demo.ONTOLOGY)})"
+_D = f"dq AS ({quads_sql(demo.COLUMNS)})"
+_T = f"oq AS ({quads_sql([], demo.ONTOLOGY)})"
+
+
+def query(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+def _in(*values: str) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _typed(*classes: str) -> str:
+    return f"(SELECT s FROM q WHERE p = '{t.TYPE}' AND o_kind = 0 AND o IN {_in(*classes)})"
+
+
+_ANY = f"(SELECT s FROM q WHERE p = '{t.TYPE}' AND o_kind < 2)"
+_LOCAL = r"regexp_replace({}, '^.*[#/]', '')"
+_TERMS = (t.CLASS, t.OBJECT_PROPERTY, t.DATATYPE_PROPERTY)
+_OWL = t.OWL
+
+#: For each check: focus, path, value of its rows, by nested queries where the plans use joins.
+_SQL = {
+    "STR-001": f"SELECT s f, NULL p, o v FROM q WHERE p = '{t.TYPE}' AND o_kind = 0 AND o NOT IN {_in(*t.META_TYPES)} AND o NOT IN {_typed(*t.CLASS_KINDS, _OWL + 'Restriction')}",
+    "STR-002": f"SELECT s f, p, NULL v FROM q WHERE p <> '{t.TYPE}' AND NOT starts_with(p, '{t.W3C}') AND p NOT IN {_typed(*t.PROPERTY_KINDS)}",
+    "STR-003": f"SELECT s f, NULL p, NULL v FROM {_typed(t.OBJECT_PROPERTY, t.DATATYPE_PROPERTY)} x WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.s = x.s AND (p IN {_in(t.DOMAIN, t.RANGE)} OR p LIKE '%domainIncludes' OR p LIKE '%rangeIncludes'))",
+    "STR-004": f"SELECT s f, NULL p, NULL v FROM q x WHERE p = '{t.TYPE}' AND o = '{t.CLASS}' AND s_kind = 0 AND NOT starts_with(s, '{t.W3C}') AND NOT EXISTS (SELECT 1 FROM q y WHERE y.s = x.s AND y.p IN {_in(*(_OWL + n for n in ('equivalentClass', 'intersectionOf', 'unionOf', 'oneOf', 'disjointWith')), t.SUBCLASS)}) AND NOT EXISTS (SELECT 1 FROM q y WHERE y.o = x.s AND y.p = '{_OWL}disjointWith')",
+    "STR-005": f"SELECT s f, p, o v FROM q WHERE p = '{t.DOMAIN}' AND o NOT IN {_ANY}",
+    "STR-006": f"SELECT s f, p, o v FROM q WHERE o_kind = 0 AND p NOT IN {_in(t.TYPE, _OWL + 'imports', _OWL + 'versionIRI')} AND NOT starts_with(p, '{t.W3C}') AND NOT starts_with(o, '{t.W3C}') AND o NOT IN {_ANY}",
+    "STR-007": f"SELECT p f, NULL p, CASE WHEN s = o THEN s ELSE least(s, o) || ', ' || greatest(s, o) END v FROM q WHERE NOT starts_with(p, '{t.W3C}') AND p NOT IN {_ANY}",
+    "STR-008": f"SELECT s f, p, o v FROM q WHERE p = '{t.RANGE}' AND s IN {_typed(t.OBJECT_PROPERTY)} AND o NOT IN {_ANY}",
+    "STR-009": f"SELECT s f, p, o v FROM q WHERE p <> '{t.TYPE}' AND s_kind = 0 AND NOT starts_with(s, '{t.W3C}') AND s NOT IN {_ANY}",
+    "LOG-001": f"SELECT a f, '({t.SUBCLASS})+' p, b v FROM (SELECT a, b FROM up) u JOIN (SELECT s, o FROM q WHERE p = '{_OWL}disjointWith') d ON a = s AND b = o",
+    "LOG-002": f"SELECT s f, p, NULL v FROM q WHERE p IN {_typed(_OWL + 'FunctionalProperty')} GROUP BY s, p HAVING count(DISTINCT o) > 1",
+    "LOG-003": f"SELECT x.s f, x.p, x.o v FROM q x JOIN q y ON x.s = y.s AND x.o = y.o WHERE x.p = '{_OWL}equivalentClass' AND y.p = '{t.SUBCLASS}' AND x.s <> x.o",
+    "LOG-004": f"SELECT DISTINCT x.a f, '{_OWL}inverseOf' p, x.b || ', ' || y.b v FROM inv x JOIN inv y ON x.a = y.a AND x.b < y.b",
+    "LOG-005": f"SELECT s f, p, o v FROM q WHERE p = '{_OWL}inverseOf' AND s = o",
+    **{i: f"SELECT x.s f, '{t.DOMAIN}, {t.RANGE}' p, least(d.o, r.o) || ', ' || greatest(d.o, r.o) v FROM {_typed(_OWL + k)} x JOIN q d ON d.s = x.s JOIN q r ON r.s = x.s WHERE d.p = '{t.DOMAIN}' AND r.p = '{t.RANGE}' AND d.o <> r.o" for i, k in (("LOG-006", "SymmetricProperty"), ("LOG-007", "TransitiveProperty"))},
+    "QUA-001": f"SELECT s f, '{t.LABEL}' p, NULL v FROM q WHERE p = '{t.TYPE}' AND o IN {_in(*_TERMS)} AND s_kind = 0 AND s NOT IN (SELECT s FROM q WHERE p IN {_in(t.LABEL, t.PREF_LABEL)})",
+    "QUA-002": f"SELECT s f, NULL p, NULL v FROM {_typed(t.ONTOLOGY)} WHERE s NOT IN (SELECT s FROM q WHERE p IN {_in(_OWL + 'versionInfo', t.DCTERMS + 'title', t.LABEL, t.PREF_LABEL)})",
+    "QUA-003": f"SELECT s f, term p, NULL v FROM (SELECT s, p term FROM q UNION SELECT s, o FROM q WHERE p = '{t.TYPE}') WHERE term IN (SELECT s FROM q WHERE p = '{_OWL}deprecated' AND o IN ('true', '1'))",
+    "QUA-004": f"SELECT n f, '{t.PREF_LABEL}' p, NULL v FROM (SELECT s n FROM q WHERE s_kind = 0 UNION SELECT p FROM q UNION SELECT o FROM q WHERE o_kind = 0) WHERE NOT starts_with(n, '{t.W3C}') AND n NOT IN (SELECT s FROM q WHERE p IN {_in(t.LABEL, t.PREF_LABEL)}) AND n NOT IN (SELECT o FROM q WHERE o_kind = 0 AND p IN {_in(_OWL + 'versionIRI', t.SEE_ALSO)})",
+    "QUA-005": f"SELECT '{t.WHOLE_GRAPH}' f, NULL p, NULL v WHERE NOT EXISTS (SELECT 1 FROM {_typed(t.ONTOLOGY)})",
+    "QUA-006": f"SELECT x.s f, NULL p, y.s v FROM {_typed(t.ONTOLOGY)} x JOIN {_typed(t.CLASS, *t.PROPERTY_KINDS)} y ON regexp_replace(y.s, '^(.*[/#])[^/#]*$', '\\1') = x.s",
+    "QUA-007": f"SELECT s f, NULL p, NULL v FROM {_typed(t.ONTOLOGY)} WHERE s NOT IN (SELECT s FROM q WHERE p = '{_OWL}versionIRI')",
+    "QUA-008": f"SELECT s f, NULL p, i v FROM (SELECT s, s i FROM {_typed(t.ONTOLOGY)} UNION SELECT s, o FROM q WHERE p = '{_OWL}versionIRI' AND s IN {_typed(t.ONTOLOGY)}) WHERE i NOT LIKE 'https://%'",
+    "EFF-001": "SELECT x0.a f, NULL p, x5.b v FROM sub x0, sub x1, sub x2, sub x3, sub x4, sub x5 WHERE x0.b = x1.a AND x1.b = x2.a AND x2.b = x3.a AND x3.b = x4.a AND x4.b = x5.a AND x0.a NOT IN (x0.b, x1.b, x2.b, x3.b, x4.b, x5.b) AND x0.b <> x1.b AND x1.b <> x2.b AND x2.b <> x3.b AND x3.b <> x4.b AND x4.b <> x5.b",
+    "EFF-002": f"SELECT '{t.WHOLE_GRAPH}' f, NULL p, NULL v FROM (SELECT s n, s_kind k FROM q UNION SELECT o, o_kind FROM q WHERE o_kind < 2) HAVING sum(k) * 1.0 / count(*) > 0.2",
+    "EFF-003": f"SELECT s f, p, NULL v FROM q WHERE p <> '{t.TYPE}' GROUP BY s, p HAVING count(*) > 50",
+    "STY-001": f"SELECT s f, NULL p, NULL v FROM q WHERE p = '{t.TYPE}' AND o = '{t.CLASS}' AND s_kind = 0 AND NOT regexp_matches({_LOCAL.format('s')}, '^[A-Z][A-Za-z0-9]*$')",
+    "STY-002": f"SELECT s f, NULL p, NULL v FROM q WHERE p = '{t.TYPE}' AND o IN {_in(t.OBJECT_PROPERTY, t.DATATYPE_PROPERTY)} AND s_kind = 0 AND NOT regexp_matches({_LOCAL.format('s')}, '^[a-z][A-Za-z0-9]*$')",
+    "STY-003": f"SELECT s f, NULL p, o v FROM q WHERE p = '{t.LABEL}' AND o_kind = 2 AND o_lang IS NULL",
+    "STY-004": f"SELECT x.s f, '{t.PREF_LABEL}' p, o v FROM {_typed(*_TERMS, t.ANNOTATION_PROPERTY)} x JOIN q ON q.s = x.s WHERE p = '{t.PREF_LABEL}' AND NOT starts_with(x.s, '{t.W3C}') AND lower(regexp_replace({_LOCAL.format('x.s')}, '[^A-Za-z0-9]', '', 'g')) <> lower(regexp_replace(o, '[^A-Za-z0-9]', '', 'g'))",
+    "STY-005": f"SELECT '{t.WHOLE_GRAPH}' f, NULL p, string_agg(DISTINCT x, '|' ORDER BY x) v FROM (SELECT regexp_replace({_LOCAL.format('s')}, '[a-zA-Z0-9]+([^a-zA-Z0-9:#/ ])[a-zA-Z0-9]+.*', '\\1') x FROM {_typed(*_TERMS)}) WHERE regexp_matches(x, '[^a-zA-Z0-9:#/ ]') HAVING count(DISTINCT x) > 1",
+    "DAT-001": f"SELECT s f, p, o v FROM q WHERE o_kind = 2 AND ((o_dt = '{t.XSD}date' AND NOT regexp_matches(o, '^-?[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(Z|[+-][0-9]{{2}}:[0-9]{{2}})?$')) OR (o_dt = '{t.XSD}integer' AND NOT regexp_matches(o, '^[+-]?[0-9]+$')) OR (o_dt = '{t.XSD}boolean' AND o NOT IN ('true', 'false', '1', '0')))",
+    "DAT-002": f"SELECT s f, p, o v FROM q WHERE o_kind = 0 AND p NOT IN {_in(t.TYPE, t.SEE_ALSO)} AND NOT starts_with(o, '{t.W3C}') AND o NOT IN (SELECT s FROM q) AND o NOT IN (SELECT o FROM q WHERE o_kind < 2 AND p IN {_in(t.TYPE, _OWL + 'versionIRI')})",
+    "DAT-003": "SELECT s f, p, NULL v FROM q WHERE o_kind = 2 GROUP BY s, p, o HAVING count(*) > 1",
+    "REA-001": f"SELECT x.s f, NULL p, x.o || ', ' || y.o v FROM q x JOIN q y ON x.s = y.s AND x.o < y.o WHERE x.p = '{t.TYPE}' AND y.p = '{t.TYPE}' AND EXISTS (SELECT 1 FROM q d WHERE d.p = '{_OWL}disjointWith' AND ((d.s = x.o AND d.o = y.o) OR (d.s = y.o AND d.o = x.o)))",
+    "REA-002": f"SELECT x.s f, x.p, x.o v FROM q x JOIN q y ON x.s = y.o AND x.o = y.s AND x.p = y.p WHERE x.s <> x.o AND x.p IN {_typed(_OWL + 'AsymmetricProperty')}",
+    "REA-003": f"SELECT s f, p, NULL v FROM q WHERE s = o AND p IN {_typed(_OWL + 'IrreflexiveProperty')}",
+    "REA-004": f"SELECT s f, NULL p, NULL v FROM q WHERE p = '{t.TYPE}' AND o = '{_OWL}Nothing'",
+}
+_HELP = f"""sub AS (SELECT s a, o b FROM q WHERE p = '{t.SUBCLASS}' AND o_kind < 2),
+inv AS (SELECT s a, o b FROM q WHERE p = '{_OWL}inverseOf' AND o_kind = 0 UNION SELECT o, s FROM q WHERE p = '{_OWL}inverseOf' AND s_kind = 0),
+up(a, b) AS (SELECT a, b FROM sub UNION SELECT up.a, sub.b FROM up JOIN sub ON up.b = sub.a)"""
+
+
+def _oracle(check_id: str) -> str:
+    severity = checks.CHECKS[check_id].severity
+    return f"WITH RECURSIVE {_Q}, {_HELP} SELECT DISTINCT '{check_id}' AS check_id, '{severity}' AS severity, f AS focus_node, CAST(p AS VARCHAR) AS path, coalesce(CAST(v AS VARCHAR), f) AS value FROM ({_SQL[check_id]})"
+
+
+def _check(check_id: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: checks.run_check(demo.shop(spark, sf_dir), check_id).select("check_id", "severity", "focus_node", "path", "value")
+
+
+for _id in sorted(checks.RULES):
+    query(f"check_{_id.lower().replace('-', '_')}", _oracle(_id) if _id in _SQL else None)(_check(_id))
+
+_ALL = " UNION ALL ".join(f"SELECT DISTINCT '{i}' AS check_id, '{checks.CHECKS[i].category}' AS category, '{checks.CHECKS[i].severity}' AS severity, f AS focus_node, CAST(p AS VARCHAR) AS path, coalesce(CAST(v AS VARCHAR), f) AS value FROM ({s}) x" for i, s in sorted(_SQL.items()))
+_ALL = f"WITH RECURSIVE {_Q.replace('q AS', 'q AS MATERIALIZED', 1)}, {_HELP}, a AS ({_ALL})"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged, ordered findings of all checks over one stored copy of the mapped graph."""
+    return findings.ordered(checks.run_all(demo.shop(spark, sf_dir).stored(), literals=False))
+
+
+@query("findings_all", f"{_ALL} SELECT * FROM a")
+def findings_all(spark, sf_dir):
+    return checks.run_all(demo.shop(spark, sf_dir).stored(), literals=False).select("check_id", "category", "severity", "focus_node", "path", "value")
+
+
+@query("category_pivot", f"{_ALL} SELECT category, count(*) FILTER (severity = 'Violation') AS \"Violation\", count(*) FILTER (severity = 'Warning') AS \"Warning\", count(*) FILTER (severity = 'Info') AS \"Info\" FROM a GROUP BY category")
+def category_pivot(spark, sf_dir):
+    return findings.category_pivot(checks.run_all(demo.shop(spark, sf_dir).stored(), literals=False))
+
+
+@query("top_offenders", f"{_ALL} SELECT focus_node, count(*) AS n_findings FROM a GROUP BY focus_node ORDER BY n_findings DESC, focus_node LIMIT 15")
+def top_offenders(spark, sf_dir):
+    return findings.top_offenders(checks.run_all(demo.shop(spark, sf_dir).stored(), literals=False))
