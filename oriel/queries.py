@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oriel import demo, findings
+from oriel import demo, findings, fixpoint
 from oriel import terms as t
-from oriel.operators import checks
-from oriel.relational import quads_sql
+from oriel.graph import Graph
+from oriel.operators import checks, metrics, versioning
+from oriel.relational import Column, quads, quads_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +124,286 @@ def category_pivot(spark, sf_dir):
 @query("top_offenders", f"{_ALL} SELECT focus_node, count(*) AS n_findings FROM a GROUP BY focus_node ORDER BY n_findings DESC, focus_node LIMIT 15")
 def top_offenders(spark, sf_dir):
     return findings.top_offenders(checks.run_all(demo.shop(spark, sf_dir).stored(), literals=False))
+
+
+# ---- conformance -------------------------------------------------------------------------------
+
+_CONF = f"""WITH RECURSIVE {_D}, {_T},
+cls AS (SELECT s c FROM oq WHERE p = '{t.TYPE}' AND o IN {_in(*t.CLASS_KINDS)} UNION SELECT s FROM oq WHERE p = '{t.SUBCLASS}' AND o_kind < 2 UNION SELECT o FROM oq WHERE p = '{t.SUBCLASS}' AND o_kind < 2),
+prp AS (SELECT s p FROM oq WHERE p = '{t.TYPE}' AND o IN {_in(*t.PROPERTY_KINDS)} UNION SELECT s FROM oq WHERE p IN {_in(t.DOMAIN, t.RANGE)}),
+up(a, b) AS (SELECT s, o FROM oq WHERE p = '{t.SUBCLASS}' AND o_kind < 2 UNION SELECT up.a, x.o FROM up JOIN oq x ON up.b = x.s AND x.p = '{t.SUBCLASS}' AND x.o_kind < 2),
+sat AS (SELECT s, o c FROM dq WHERE p = '{t.TYPE}' UNION SELECT dq.s, up.b FROM dq JOIN up ON dq.o = up.a WHERE p = '{t.TYPE}'),
+used AS (SELECT * FROM dq WHERE p NOT IN {_in(t.TYPE, *t.ANNOTATIONS, t.SUBCLASS, t.DOMAIN, t.RANGE)})"""
+_OUTSIDE = "EXISTS (SELECT 1 FROM oq WHERE oq.s = u.p AND oq.p = '{1}') AND u.{0} IN (SELECT s FROM sat) AND NOT EXISTS (SELECT 1 FROM oq JOIN sat ON sat.c = oq.o WHERE oq.s = u.p AND oq.p = '{1}' AND sat.s = u.{0})"
+_CONF_SQL = {
+    "CNF-001": f"SELECT DISTINCT o f, NULL p, NULL v FROM dq WHERE p = '{t.TYPE}' AND o NOT IN (SELECT c FROM cls) AND o NOT IN {_in(*t.META_TYPES)}",
+    "CNF-002": "SELECT DISTINCT p f, NULL p, NULL v FROM used WHERE p NOT IN (SELECT p FROM prp)",
+    "CNF-003": f"SELECT DISTINCT u.p f, NULL p, u.s v FROM used u WHERE {_OUTSIDE.format('s', t.DOMAIN)}",
+    "CNF-004": f"""SELECT DISTINCT u.p f, NULL p, u.o v FROM used u WHERE u.o_kind < 2 AND {_OUTSIDE.format('o', t.RANGE)} UNION
+      SELECT u.p, NULL, u.o FROM used u WHERE u.o_kind = 2 AND EXISTS (SELECT 1 FROM oq WHERE oq.s = u.p AND oq.p = '{t.RANGE}' AND starts_with(oq.o, '{t.XSD}')) AND u.o_dt NOT IN (SELECT o FROM oq WHERE oq.s = u.p AND oq.p = '{t.RANGE}')""",
+    "CNF-005": f"SELECT c f, NULL p, NULL v FROM cls WHERE c NOT IN (SELECT o FROM dq WHERE p = '{t.TYPE}')",
+}
+
+
+def _conform(check_id: str):
+    from oriel.operators import conformance
+
+    def run(spark, sf_dir):
+        result = conformance.conformance(conformance.declarations(demo.ontology(spark)), demo.data(spark, sf_dir))
+        result.rows = {check_id: result.rows[check_id]}
+        return result.findings().select("check_id", "severity", "focus_node", "path", "value")
+
+    return run
+
+
+for _id, _sql in _CONF_SQL.items():
+    _oracle_sql = f"{_CONF} SELECT DISTINCT '{_id}' AS check_id, '{checks.CHECKS[_id].severity}' AS severity, f AS focus_node, CAST(p AS VARCHAR) AS path, coalesce(CAST(v AS VARCHAR), f) AS value FROM ({_sql})"
+    query(f"conf_{_id[-3:]}", _oracle_sql)(_conform(_id))
+
+
+# ---- fixpoints ---------------------------------------------------------------------------------
+
+_OSUB = f"WITH RECURSIVE {_T}, sub AS (SELECT s a, o b FROM oq WHERE p = '{t.SUBCLASS}' AND o_kind < 2), up(a, b) AS (SELECT a, b FROM sub UNION SELECT up.a, sub.b FROM up JOIN sub ON up.b = sub.a)"
+
+
+@query("subclass_closure", f"{_OSUB} SELECT a, b FROM up")
+def subclass_closure(spark, sf_dir):
+    return fixpoint.transitive_closure(demo.ontology(spark).edges(t.SUBCLASS))
+
+
+@query("descendants", f"{_OSUB} SELECT b AS a, a AS b FROM up UNION SELECT a, a FROM sub UNION SELECT b, b FROM sub")
+def descendants(spark, sf_dir):
+    return fixpoint.descendants(demo.ontology(spark).edges(t.SUBCLASS))
+
+
+@query(
+    "class_depth",
+    f"{_OSUB}, acyc AS (SELECT * FROM sub WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.a = sub.b AND up.b = sub.a)), path(a, b, d) AS (SELECT a, b, 1 FROM acyc UNION SELECT path.a, acyc.b, d + 1 FROM path JOIN acyc ON path.b = acyc.a) SELECT n AS node, CAST(coalesce(max(d), 0) AS BIGINT) AS depth FROM (SELECT a n FROM sub UNION SELECT b FROM sub) LEFT JOIN path ON n = a GROUP BY n",
+)
+def class_depth(spark, sf_dir):
+    return fixpoint.depth(demo.ontology(spark).edges(t.SUBCLASS))
+
+
+@query(
+    "components",
+    f"""WITH RECURSIVE {_T}, e AS (SELECT s a, o b FROM oq WHERE p <> '{t.TYPE}' AND o_kind < 2 AND s <> o UNION SELECT o, s FROM oq WHERE p <> '{t.TYPE}' AND o_kind < 2 AND s <> o), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, least(min(b), a) AS component FROM r GROUP BY a""",
+)
+def components(spark, sf_dir):
+    g = demo.ontology(spark)
+    return fixpoint.connected_components(g.where((F.col("p") != t.TYPE) & (F.col("o_kind") < 2)).select(F.col("s").alias("a"), F.col("o").alias("b")))
+
+
+@query("description", f"WITH RECURSIVE {_T}, r(root, n) AS (SELECT DISTINCT s, s FROM oq WHERE s_kind = 0 UNION SELECT r.root, o FROM r JOIN oq ON n = s WHERE o_kind = 1) SELECT DISTINCT root, s, p, o FROM r JOIN oq ON n = s")
+def description(spark, sf_dir):
+    g = demo.ontology(spark)
+    return fixpoint.frontier(g.where("s_kind = 0").select("s").distinct(), g.triples).select("root", "s", "p", "o").distinct()
+
+
+@query(
+    "list_members",
+    f"WITH RECURSIVE {_T}, r(head, cell, i) AS (SELECT s, s, 0 FROM oq WHERE p = '{t.RDF}first' AND s NOT IN (SELECT o FROM oq WHERE p = '{t.RDF}rest') UNION SELECT head, o, i + 1 FROM r JOIN oq ON cell = s WHERE p = '{t.RDF}rest' AND o_kind = 1) SELECT head, CAST(i AS BIGINT) AS position, o AS member FROM r JOIN oq ON cell = s WHERE p = '{t.RDF}first'",
+)
+def list_members(spark, sf_dir):
+    g = demo.ontology(spark)
+    return fixpoint.list_members(g.edges(t.RDF + "first"), g.edges(t.RDF + "rest"), t.RDF + "nil")
+
+
+@query("nearest_named", f"WITH RECURSIVE {_T}, r(node, up, k, d) AS (SELECT o, s, s_kind, 1 FROM oq WHERE o_kind = 1 UNION SELECT r.node, s, s_kind, d + 1 FROM r JOIN oq ON up = o WHERE k = 1 AND d < 4) SELECT node, arg_min(up, (d, up)) AS owner FROM r WHERE k = 0 GROUP BY node")
+def nearest_named(spark, sf_dir):
+    return fixpoint.nearest_named(demo.ontology(spark).triples)
+
+
+# ---- metrics -----------------------------------------------------------------------------------
+
+_ENT = f"ent AS (SELECT s n FROM q UNION SELECT o FROM q WHERE p <> '{t.TYPE}' AND o_kind < 2)"
+_SIZES = f"(SELECT count(*) FROM q) AS triple_count, (SELECT count(DISTINCT o) FROM q WHERE p = '{t.TYPE}') AS class_count, (SELECT count(DISTINCT p) FROM q WHERE p <> '{t.TYPE}') AS property_count, (SELECT count(*) FROM q WHERE p = '{t.TYPE}') AS type_triple_count, (SELECT count(*) FROM q WHERE p <> '{t.TYPE}' AND o_kind = 2) AS literal_triple_count, (SELECT count(*) FROM q WHERE p <> '{t.TYPE}' AND o_kind < 2) AS object_triple_count, (SELECT count(*) FROM ent) AS entity_count"
+_TYPED = f"(SELECT count(DISTINCT s) FROM q WHERE p = '{t.TYPE}')"
+
+
+@query("graph_sizes", f"WITH {_Q}, {_ENT} SELECT {_SIZES}")
+def graph_sizes(spark, sf_dir):
+    return metrics.graph_sizes(demo.shop(spark, sf_dir))
+
+
+@query("graph_typing", f"WITH {_Q}, {_ENT} SELECT {_TYPED} AS typed, (SELECT count(*) FROM ent) - {_TYPED} AS untyped_entity_count, round(((SELECT count(*) FROM ent) - {_TYPED})::DOUBLE / (SELECT count(*) FROM ent), 3) AS untyped_entity_ratio, (SELECT count(*) FROM (SELECT s FROM q WHERE p = '{t.TYPE}' GROUP BY s HAVING count(*) > 1)) AS multi_typed_entity_count")
+def graph_typing(spark, sf_dir):
+    return metrics.graph_typing(demo.shop(spark, sf_dir))
+
+
+@query("graph_richness", f"WITH {_Q}, {_ENT}, z AS (SELECT {_SIZES}) SELECT round(literal_triple_count::DOUBLE / entity_count, 3) AS attribute_richness, round(object_triple_count::DOUBLE / (object_triple_count + type_triple_count), 3) AS relationship_richness, 1.0::DOUBLE AS class_richness, round({_TYPED}::DOUBLE / class_count, 3) AS average_population FROM z")
+def graph_richness(spark, sf_dir):
+    return metrics.graph_richness(demo.shop(spark, sf_dir))
+
+
+@query("graph_degrees", f"WITH {_Q}, {_ENT}, d AS (SELECT n, (SELECT count(*) FROM q WHERE s = n AND p <> '{t.TYPE}') + (SELECT count(*) FROM q WHERE o = n AND o_kind < 2 AND p <> '{t.TYPE}') AS d FROM ent) SELECT round(sum(d)::DOUBLE / count(*), 3) AS average_degree, max(d)::BIGINT AS max_degree FROM d")
+def graph_degrees(spark, sf_dir):
+    return metrics.graph_degrees(demo.shop(spark, sf_dir))
+
+
+@query("graph_components", f"WITH RECURSIVE {_T}, ent AS (SELECT s n FROM oq UNION SELECT o FROM oq WHERE p <> '{t.TYPE}' AND o_kind < 2), e AS (SELECT s a, o b FROM oq WHERE p <> '{t.TYPE}' AND o_kind < 2 UNION SELECT o, s FROM oq WHERE p <> '{t.TYPE}' AND o_kind < 2 UNION SELECT n, n FROM ent), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) m FROM r GROUP BY a), z AS (SELECT m, count(*) k FROM c GROUP BY m) SELECT count(*) AS connected_component_count, max(k) AS largest_component_size, count(*) FILTER (k = 1) AS isolated_entity_count FROM z")
+def graph_components(spark, sf_dir):
+    return metrics.graph_components(demo.ontology(spark))
+
+
+@query("predicate_table", f"WITH {_Q} SELECT p AS predicate, count(*) AS uses, count(DISTINCT s) AS subjects, count(DISTINCT (o, o_kind, o_dt, o_lang)) AS objects, CASE WHEN max(o_kind) = 2 AND min(o_kind) < 2 THEN 'mixed' WHEN max(o_kind) = 2 THEN 'literal' ELSE 'resource' END AS range_kind FROM q WHERE p <> '{t.TYPE}' GROUP BY p")
+def predicate_table(spark, sf_dir):
+    return metrics.predicate_table(demo.shop(spark, sf_dir))
+
+
+@query("cross_namespace", f"WITH {_Q}, n AS (SELECT DISTINCT p i FROM q UNION SELECT o FROM q WHERE p = '{t.TYPE}') SELECT CASE WHEN regexp_extract(i, '#([^#]+)$', 1) <> '' THEN regexp_extract(i, '#([^#]+)$', 1) ELSE regexp_extract(i, '/([^/#]+)[/#]*$', 1) END AS local_name, array_to_string(list(i ORDER BY i), ' ') AS iris FROM n GROUP BY 1 HAVING count(*) > 1")
+def cross_namespace(spark, sf_dir):
+    g = demo.shop(spark, sf_dir)
+    out = metrics.cross_namespace(g.triples.select("p").union(g.types.select("c")).toDF("i"), "i")
+    return out.select("local_name", F.array_join("iris", " ").alias("iris"))
+
+
+@query(
+    "file_table",
+    " UNION ALL ".join(
+        f"SELECT * FROM (WITH q AS ({quads_sql([c for c in demo.COLUMNS if c.table == x])}), {_ENT} SELECT '{x}' AS src, count(*) AS triples, count(DISTINCT CASE WHEN p = '{t.TYPE}' THEN o END) AS classes, count(DISTINCT CASE WHEN p <> '{t.TYPE}' THEN p END) AS properties, (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM ent WHERE n NOT IN (SELECT s FROM q WHERE p = '{t.TYPE}')) AS untyped, round((SELECT count(*) FROM ent WHERE n NOT IN (SELECT s FROM q WHERE p = '{t.TYPE}'))::DOUBLE / (SELECT count(*) FROM ent), 3) AS untyped_ratio FROM q)"
+        for x in demo.TABLES
+    ),
+)
+def file_table(spark, sf_dir):
+    return metrics.file_table(demo.data(spark, sf_dir).quads)
+
+
+_INDUCED = f"""ty AS (SELECT s, o c FROM q WHERE p = '{t.TYPE}' AND o NOT IN {_in(*t.CLASS_KINDS)}), sub AS (SELECT s a, o b FROM q WHERE p = '{t.SUBCLASS}' AND o_kind < 2),
+up(a, b) AS (SELECT a, b FROM sub UNION SELECT up.a, sub.b FROM up JOIN sub ON up.b = sub.a),
+cl AS (SELECT s c FROM q WHERE p = '{t.TYPE}' AND o IN {_in(*t.CLASS_KINDS)} UNION SELECT c FROM ty UNION SELECT a FROM sub UNION SELECT b FROM sub),
+use AS (SELECT * FROM q WHERE p NOT IN {_in(t.TYPE, *t.ANNOTATIONS)}), pr AS (SELECT p, max(o_kind) = 2 AS lit, min(o_kind) < 2 AS res FROM use GROUP BY p),
+ed AS (SELECT s p, o c FROM q WHERE p = '{t.DOMAIN}'), er AS (SELECT s p, o c FROM q WHERE p = '{t.RANGE}'),
+dm AS (SELECT p, c FROM ed WHERE p IN (SELECT p FROM pr) UNION SELECT u.p, coalesce(c, '(untyped)') FROM use u LEFT JOIN ty ON ty.s = u.s WHERE u.p NOT IN (SELECT p FROM ed)),
+rg AS (SELECT p, c FROM er WHERE p IN (SELECT p FROM pr) UNION SELECT u.p, coalesce(c, '(untyped)') FROM use u LEFT JOIN ty ON ty.s = u.o WHERE u.o_kind < 2 AND u.p NOT IN (SELECT p FROM er))"""
+
+
+@query(
+    "class_metrics",
+    f"""WITH RECURSIVE {_Q}, {_INDUCED}, acyc AS (SELECT * FROM sub WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.a = sub.b AND up.b = sub.a)), path(a, b, d) AS (SELECT a, b, 1 FROM acyc UNION SELECT path.a, acyc.b, d + 1 FROM path JOIN acyc ON path.b = acyc.a),
+    cp AS (SELECT d.c x, r.c y FROM dm d JOIN rg r USING (p) WHERE d.c <> r.c AND d.c <> '(untyped)' AND r.c <> '(untyped)'), cu AS (SELECT x, y FROM cp UNION SELECT y, x FROM cp),
+    wm AS (SELECT c, p FROM dm), rf AS (SELECT c, p FROM dm UNION SELECT up.a, p FROM up JOIN dm ON dm.c = up.b)
+    SELECT c AS class, (SELECT count(*) FROM ty WHERE ty.c = cl.c) AS instances, coalesce((SELECT max(d) FROM path WHERE path.a = cl.c), 0)::BIGINT AS dit, (SELECT count(*) FROM sub WHERE sub.b = cl.c) AS noc, (SELECT count(*) FROM up WHERE up.a = cl.c) AS nac, (SELECT count(*) FROM cu WHERE x = cl.c) AS cbo,
+    (SELECT count(*) FROM wm WHERE wm.c = cl.c) AS wmc, (SELECT count(*) FROM rf WHERE rf.c = cl.c) AS rfc, (SELECT count(*) FROM sub WHERE sub.a = cl.c) > 1 AS tangled, EXISTS (SELECT 1 FROM q WHERE q.s = cl.c AND p IN {_in(t.LABEL, t.COMMENT)}) AS annotated FROM cl""",
+)
+def class_metrics(spark, sf_dir):
+    return metrics.class_metrics(metrics.Schema(demo.shop(spark, sf_dir).stored()))
+
+
+@query(
+    "schema_richness",
+    f"""WITH RECURSIVE {_Q}, {_INDUCED}, n AS (SELECT (SELECT count(*) FROM cl)::DOUBLE c, (SELECT count(*) FROM sub)::DOUBLE e, (SELECT count(DISTINCT c) FROM ty) pop, (SELECT count(DISTINCT s) FROM ty) typ, (SELECT count(*) FROM pr WHERE res AND NOT lit) ob,
+    (SELECT sum(greatest((SELECT count(DISTINCT c) FROM dm WHERE dm.p = pr.p AND c <> '(untyped)'), 1)) FROM pr WHERE lit AND NOT res) sl) SELECT round(sl / c, 3) AS attribute_richness, round(ob / (ob + e), 3) AS relationship_richness, round(e / c, 3) AS inheritance_richness, round(pop / c, 3) AS class_richness, round(typ / c, 3) AS average_population FROM n""",
+)
+def schema_richness(spark, sf_dir):
+    return metrics.schema_richness(metrics.Schema(demo.shop(spark, sf_dir).stored()))
+
+
+@query(
+    "schema_completeness",
+    f"""WITH RECURSIVE {_Q}, {_INDUCED}, an AS (SELECT DISTINCT s FROM q WHERE p IN {_in(t.LABEL, t.COMMENT)}), ex AS (SELECT DISTINCT s FROM q WHERE p = '{t.TYPE}' AND o IN {_in(*t.CLASS_KINDS)})
+    SELECT (SELECT count(*) FROM cl) AS class_count, (SELECT count(*) FROM ex) AS explicit_class_count, (SELECT count(*) FROM pr) AS property_count, (SELECT count(*) FROM pr WHERE p IN (SELECT p FROM ed)) AS explicit_domain_count, (SELECT count(*) FROM pr WHERE p IN (SELECT p FROM er)) AS explicit_range_count,
+    (SELECT count(*) FROM cl WHERE c IN (SELECT s FROM an)) AS annotated_class_count, (SELECT count(*) FROM pr WHERE p IN (SELECT s FROM an)) AS annotated_property_count, (SELECT count(*) FROM cl) - (SELECT count(*) FROM ex) AS induced_class_count""",
+)
+def schema_completeness(spark, sf_dir):
+    return metrics.schema_completeness(metrics.Schema(demo.shop(spark, sf_dir).stored()))
+
+
+@query(
+    "declared_richness",
+    f"""{_CONF}, kd AS (SELECT p, (SELECT count(*) FROM oq WHERE oq.s = prp.p AND oq.p = '{t.RANGE}') n, EXISTS (SELECT 1 FROM oq WHERE oq.s = prp.p AND oq.p = '{t.RANGE}' AND starts_with(o, '{t.XSD}')) dt, EXISTS (SELECT 1 FROM oq WHERE oq.s = prp.p AND oq.p = '{t.RANGE}' AND o IN (SELECT c FROM cls)) ob FROM prp),
+    z AS (SELECT (SELECT count(*) FROM cls)::DOUBLE c, (SELECT count(*) FROM oq WHERE p = '{t.SUBCLASS}' AND o_kind < 2) e, (SELECT count(*) FROM kd WHERE ob OR n = 0) ob, (SELECT count(*) FROM prp) pc, (SELECT count(DISTINCT s) FROM dq WHERE p = '{t.TYPE}') typ, (SELECT count(*) FROM cls WHERE c IN (SELECT o FROM dq WHERE p = '{t.TYPE}')) pop,
+    (SELECT coalesce(sum(greatest((SELECT count(DISTINCT o) FROM oq WHERE oq.s = kd.p AND oq.p = '{t.DOMAIN}' AND o IN (SELECT c FROM cls)), 1)), 0) FROM kd WHERE dt AND NOT (ob OR n = 0)) sl)
+    SELECT round(sl / c, 3) AS attribute_richness, round(ob::DOUBLE / (ob + e), 3) AS relationship_richness, round(e / c, 3) AS inheritance_richness, round(pop / c, 3) AS class_richness, round(typ / c, 3) AS average_population, c::BIGINT AS class_count, pc AS property_count FROM z""",
+)
+def declared_richness(spark, sf_dir):
+    from oriel.operators import conformance
+
+    return metrics.declared_richness(conformance.declarations(demo.ontology(spark)), demo.data(spark, sf_dir))
+
+
+_AXES = (*(t.RDFS + x for x in ("subClassOf", "domain", "range")), *(_OWL + x for x in ("equivalentClass", "disjointWith", "inverseOf", "someValuesFrom", "maxCardinality", "onProperty", "unionOf")))
+
+
+@query("expressivity", f"WITH {_T} SELECT regexp_replace(p, '^.*#', '') AS feature, count(*) AS uses FROM oq WHERE p IN {_in(*_AXES)} GROUP BY 1 UNION ALL SELECT regexp_replace(o, '^.*#', ''), count(*) FROM oq WHERE p = '{t.TYPE}' AND o IN {_in(*t.CHARACTERISTICS, _OWL + 'Restriction')} GROUP BY 1 UNION ALL SELECT 'deprecated', count(*) FROM oq WHERE p = '{_OWL}deprecated' AND o = 'true'")
+def expressivity(spark, sf_dir):
+    return metrics.expressivity(demo.ontology(spark))
+
+
+@query("property_kinds", f"WITH {_T} SELECT s AS p, CASE WHEN bool_or(p = '{t.TYPE}' AND o = '{t.OBJECT_PROPERTY}') THEN 'object' WHEN bool_or(p = '{t.TYPE}' AND o = '{t.DATATYPE_PROPERTY}') THEN 'datatype' WHEN bool_and(starts_with(o, '{t.XSD}')) FILTER (p = '{t.RANGE}') THEN 'datatype' ELSE 'object' END AS kind FROM oq WHERE (p = '{t.TYPE}' AND o IN {_in(*t.PROPERTY_KINDS)}) OR p = '{t.RANGE}' GROUP BY s")
+def property_kinds(spark, sf_dir):
+    return metrics.property_kinds(demo.ontology(spark))
+
+
+@query("anonymous_classes", f"WITH {_T} SELECT s AS node, CASE WHEN p = '{t.TYPE}' THEN 'restriction' ELSE regexp_replace(p, '^.*#', '') END AS kind FROM oq WHERE s_kind = 1 AND ((p = '{t.TYPE}' AND o = '{_OWL}Restriction') OR p IN {_in(*(_OWL + x for x in ('unionOf', 'intersectionOf', 'oneOf', 'complementOf')))})")
+def anonymous_classes(spark, sf_dir):
+    return metrics.anonymous_classes(demo.ontology(spark))
+
+
+@query("cyclic_classes", f"{_OSUB} SELECT a AS class FROM up WHERE a = b")
+def cyclic_classes(spark, sf_dir):
+    return metrics.cyclic_classes(demo.ontology(spark))
+
+
+# ---- versions ----------------------------------------------------------------------------------
+
+_OLD = "p_partkey % 5 <> 0"
+_NEW = "p_partkey % 7 <> 0"
+_PART = "concat('urn:k/part/', cast(p_partkey AS string))"
+
+
+def _version(condition: str, parent: str) -> list[Column]:
+    return [
+        Column("part", _PART, t.TYPE, f"'{t.CLASS}'", t.IRI, where=condition),
+        Column("part", _PART, t.SUBCLASS, f"concat('urn:k/', {parent})", t.IRI, where=condition),
+        Column("part", _PART, t.LABEL, "p_name", t.LITERAL, language="en", where=condition),
+        Column("part", _PART, _OWL + "disjointWith", "concat('urn:k/part/', cast(p_partkey + 1 AS string))", t.IRI, where=f"{condition} AND p_size < 5"),
+    ]
+
+
+_V1, _V2 = _version(_OLD, "p_type"), _version(_NEW, "CASE WHEN p_partkey % 11 = 0 THEN p_brand ELSE p_type END")
+
+
+def _snapshots(spark, sf_dir):
+    part = {"part": spark.read.parquet(f"{sf_dir}/part.parquet")}
+    return versioning.snapshot(Graph(quads(part, _V1))), versioning.snapshot(Graph(quads(part, _V2)))
+
+
+def _snap_sql(name: str, columns: list[Column]) -> str:
+    return f"""{name}q AS ({quads_sql(columns)}), {name} AS (
+    SELECT 'class' fact, s k1, '' k2 FROM {name}q WHERE p = '{t.TYPE}' UNION SELECT 'class', s, '' FROM {name}q WHERE p = '{t.SUBCLASS}' UNION SELECT 'class', o, '' FROM {name}q WHERE p = '{t.SUBCLASS}'
+    UNION SELECT 'subclass', s, o FROM {name}q WHERE p = '{t.SUBCLASS}' UNION SELECT 'disjoint', least(s, o), greatest(s, o) FROM {name}q WHERE p = '{_OWL}disjointWith' AND s <> o UNION SELECT 'annotation', s, p || ' ' || o FROM {name}q WHERE p = '{t.LABEL}')"""
+
+
+_DIFF = f"""WITH {_snap_sql('a', _V1)}, {_snap_sql('b', _V2)}, ch AS (
+SELECT 'added' AS change, * FROM (SELECT * FROM b WHERE fact <> 'annotation' EXCEPT SELECT * FROM a) UNION ALL SELECT 'removed', * FROM (SELECT * FROM a WHERE fact <> 'annotation' EXCEPT SELECT * FROM b)
+UNION ALL SELECT DISTINCT 'changed', 'annotation', k1, '' FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)) WHERE fact = 'annotation' AND k1 IN (SELECT k1 FROM a WHERE fact = 'class') AND k1 IN (SELECT k1 FROM b WHERE fact = 'class'))"""
+
+
+@query("version_diff", f"{_DIFF} SELECT change, fact, k1, k2 FROM ch")
+def version_diff(spark, sf_dir):
+    return versioning.diff(*_snapshots(spark, sf_dir))
+
+
+@query("bump_level", f"{_DIFF} SELECT CASE WHEN bool_or(change = 'removed' AND fact IN ('class', 'subclass') OR change = 'added' AND fact = 'disjoint') THEN 'MAJOR' WHEN count(*) = 0 THEN 'NONE' WHEN bool_and(change = 'changed') THEN 'PATCH' ELSE 'MINOR' END AS bump FROM ch")
+def bump_level(spark, sf_dir):
+    return versioning.bump(versioning.diff(*_snapshots(spark, sf_dir)))
+
+
+_W1 = [Column("nation", "concat('urn:v1/', n_name)", t.TYPE, f"'{t.CLASS}'", t.IRI)]
+_W2 = [Column("nation", "concat('urn:v2/', CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE replace(n_name, 'NATION', 'Land') END)", t.TYPE, f"'{t.CLASS}'", t.IRI)]
+
+
+def _renamed(spark, sf_dir):
+    nation = {"nation": spark.read.parquet(f"{sf_dir}/nation.parquet")}
+    new = Graph(quads(nation, _W2))
+    return versioning.rename_candidates(versioning.snapshot(Graph(quads(nation, _W1))), versioning.snapshot(new), new)
+
+
+@query("rename_same_name", "SELECT 'class' AS kind, 'urn:v1/' || n_name AS old, 'urn:v2/' || n_name AS new, 1.0::DOUBLE AS confidence FROM nation WHERE n_nationkey % 2 = 0")
+def rename_same_name(spark, sf_dir):
+    return _renamed(spark, sf_dir).where("reason = 'same name'").drop("reason")
+
+
+@query("rename_similar_name")
+def rename_similar_name(spark, sf_dir):
+    return _renamed(spark, sf_dir).where("reason = 'similar name'")
