@@ -266,8 +266,8 @@ def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRES
     """``docs`` without the documents that a chain of pairs links to one of a lower doc_id."""
     exact, members = _distinct_pairs(docs, n, threshold, recall, local)
     links = materialise(exact.select("a", "b").unionAll(members.where("rid <> doc_id").select(F.col("rid").alias("a"), F.col("doc_id").alias("b"))), "links")
-    losers = connected_components(links).where("node <> component").select(F.col("node").alias("_loser"))
-    return docs.join(losers, F.col("doc_id").cast("long") == F.col("_loser"), "left_anti")
+    losers = materialise(connected_components(links).where("node <> component").select("node"), "losers")
+    return docs.join(losers, docs["doc_id"].cast("long") == losers["node"], "left_anti")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ DEPTH = 3
 ROW_CELLS = 1 << 14
 ANCHORS_PER_BLOCK = 8192
 INDEX_BITS = 24
+_ROW_SALT = np.arange(1, DEPTH + 1, dtype=np.uint64) * k.K2
 
 
 def anchor_of_windows(words: k.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +71,7 @@ def anchor_of_windows(words: k.Words, width: int) -> tuple[np.ndarray, np.ndarra
 
 def cells(h: np.ndarray) -> np.ndarray:
     """The cell of each hash in each row of a block, as row * ROW_CELLS + cell; shape (DEPTH, n)."""
-    return np.stack([(k.mix(h + k.U(row + 1) * k.K2) % k.U(ROW_CELLS)).astype(np.int64) + row * ROW_CELLS for row in range(DEPTH)])
+    return np.stack([(k.mix(h + _ROW_SALT[row]) % k.U(ROW_CELLS)).astype(np.int64) + row * ROW_CELLS for row in range(DEPTH)])
 
 
 def block_of(h: np.ndarray, blocks: int) -> np.ndarray:

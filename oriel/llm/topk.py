@@ -43,13 +43,16 @@ def impact(weight: np.ndarray, tf: np.ndarray, length: np.ndarray, n: int, total
 
 def search_lists(docs: np.ndarray, impacts: np.ndarray, begin: np.ndarray, end: np.ndarray, n_docs: int, best: int, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ``best`` documents with the greatest sums over the lists [begin, end), sorted by impact."""
+    begin, end = begin[end > begin], end[end > begin]
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     length = end - begin
     depth = 16
     while True:
         read = np.minimum(length, depth)
         total = int(read.sum())
         at = np.repeat(begin, read) + np.arange(total) - np.repeat(np.cumsum(read) - read, read)
-        frontier = np.where(read < length, impacts[begin + np.maximum(read, 1) - 1], 0)
+        frontier = np.where(read < length, impacts[begin + read - 1], 0)
         lower = np.bincount(docs[at], impacts[at], minlength=n_docs)
         if not frontier.any():
             break
