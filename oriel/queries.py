@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from oriel import demo, findings, fixpoint
 from oriel import terms as t
 from oriel.graph import Graph
-from oriel.operators import checks, metrics, versioning
+from oriel.operators import checks, mapping, metrics, reasoning, repair, versioning
+from oriel.plans import sparql
 from oriel.relational import Column, quads, quads_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,3 +408,105 @@ def rename_same_name(spark, sf_dir):
 @query("rename_similar_name")
 def rename_similar_name(spark, sf_dir):
     return _renamed(spark, sf_dir).where("reason = 'similar name'")
+
+
+# ---- queries in text, reasoning, mapping, repair, reports ---------------------------------------
+
+
+@query("sparql_unlabelled", f"WITH {_T} SELECT s AS focus FROM oq WHERE p = '{t.TYPE}' AND o = '{t.CLASS}' AND s NOT IN (SELECT s FROM oq WHERE p IN {_in(t.LABEL, t.PREF_LABEL)})")
+def sparql_unlabelled(spark, sf_dir):
+    return sparql.select(demo.ontology(spark), "SELECT ?focus WHERE { ?focus a owl:Class . FILTER NOT EXISTS { ?focus rdfs:label|skos:prefLabel [] } }")
+
+
+@query("sparql_group", f"WITH {_Q} SELECT o AS customer, CAST(count(*) AS VARCHAR) AS orders FROM q WHERE p = 'urn:c/customer' GROUP BY o HAVING count(*) > 15")
+def sparql_group(spark, sf_dir):
+    return sparql.select(demo.data(spark, sf_dir), "PREFIX c: <urn:c/> SELECT ?customer (COUNT(?order) AS ?orders) WHERE { ?order c:customer ?customer } GROUP BY ?customer HAVING (COUNT(?order) > 15)")
+
+
+@query("sparql_optional", f"WITH {_Q} SELECT a.s AS customer, b.o AS kind, n.o AS nation FROM q a LEFT JOIN q b ON b.s = a.s AND b.p = '{t.TYPE}' JOIN q n ON n.s = a.s AND n.p = 'urn:c/nation' WHERE a.p = 'urn:c/segment' AND a.o <> 'MACHINERY'")
+def sparql_optional(spark, sf_dir):
+    return sparql.select(demo.data(spark, sf_dir), "PREFIX c: <urn:c/> SELECT ?customer ?kind ?nation WHERE { ?customer c:segment ?x ; c:nation ?nation . OPTIONAL { ?customer a ?kind } FILTER(?x != 'MACHINERY') }")
+
+
+@query("sparql_path", f"{_OSUB} SELECT a AS class, CAST(count(*) AS VARCHAR) AS above FROM up GROUP BY a")
+def sparql_path(spark, sf_dir):
+    return sparql.select(demo.ontology(spark), "SELECT ?class (COUNT(DISTINCT ?up) AS ?above) WHERE { ?class rdfs:subClassOf+ ?up } GROUP BY ?class")
+
+
+@query("sparql_update", f"WITH {_T} SELECT 'added' AS change, s, o FROM oq WHERE p = '{t.LABEL}' AND o_lang IS NULL UNION ALL SELECT 'removed', s, o FROM oq WHERE p = '{t.LABEL}' AND o_lang IS NULL")
+def sparql_update(spark, sf_dir):
+    _, added, removed = sparql.update(demo.ontology(spark), "DELETE { ?e rdfs:label ?l } INSERT { ?e rdfs:label ?n } WHERE { ?e rdfs:label ?l . FILTER(LANG(?l) = '') BIND(STRLANG(STR(?l), 'en') AS ?n) }")
+    return added.select(F.lit("added").alias("change"), "s", "o").union(removed.select(F.lit("removed").alias("change"), "s", "o"))
+
+
+@query("literal_supplement", f"WITH {_Q} SELECT s AS focus, p AS path, o AS value FROM q WHERE o_kind = 2 AND ((o_dt = '{t.XSD}date' AND try_cast(o AS DATE) IS NULL) OR (o_dt = '{t.XSD}integer' AND NOT regexp_matches(o, '^[+-]?[0-9]+$')))")
+def literal_supplement(spark, sf_dir):
+    return checks.ill_typed_literals(demo.shop(spark, sf_dir)).select("focus", "path", "value")
+
+
+_TABLE_QUERY = "PREFIX k: <urn:k/> PREFIX c: <urn:c/> CONSTRUCT { ?row a k:Supplier ; rdfs:label ?name ; c:nation ?home ; c:code ?code } WHERE { BIND(IRI(CONCAT('urn:t/supplier/', ?s_suppkey)) AS ?row) BIND(IRI(CONCAT('urn:t/nation/', ?s_nationkey)) AS ?home) BIND(STRLANG(?s_name, 'en') AS ?name) BIND(STRDT(?s_suppkey, xsd:integer) AS ?code) }"
+
+
+@query(
+    "triplify",
+    f"SELECT 'urn:t/supplier/' || s_suppkey AS s, '{t.TYPE}' AS p, 'urn:k/Supplier' AS o FROM supplier UNION SELECT 'urn:t/supplier/' || s_suppkey, '{t.LABEL}', s_name FROM supplier UNION SELECT 'urn:t/supplier/' || s_suppkey, 'urn:c/nation', 'urn:t/nation/' || s_nationkey FROM supplier UNION SELECT 'urn:t/supplier/' || s_suppkey, 'urn:c/code', CAST(s_suppkey AS VARCHAR) FROM supplier",
+)
+def triplify(spark, sf_dir):
+    return mapping.triplify(spark.read.parquet(f"{sf_dir}/supplier.parquet"), _TABLE_QUERY).select("s", "p", "o")
+
+
+@query("prefix_alignment", "SELECT n_name AS file, 'p' || n_regionkey AS prefix, 'urn:x/' || n_nationkey % 7 AS namespace, CASE WHEN n_regionkey IN (0, 1, 2) THEN 'namespace_mismatch' WHEN n_nationkey % 7 IN (0, 1, 2) THEN 'prefix_name_mismatch' ELSE 'undeclared_namespace' END AS kind FROM nation WHERE NOT (n_regionkey IN (0, 1, 2) AND n_nationkey % 7 = n_regionkey)")
+def prefix_alignment(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    used = nation.selectExpr("n_name AS file", "concat('p', n_regionkey) AS prefix", "concat('urn:x/', n_nationkey % 7) AS namespace")
+    return mapping.prefix_alignment(used, spark.range(3).selectExpr("'o' AS file", "concat('p', id) AS prefix", "concat('urn:x/', id) AS namespace"))
+
+
+@query("taxonomy_membership", "SELECT 'urn:t/customer/' || c_custkey AS subject, 'urn:c/nation' AS property, 'urn:t/nation/' || c_nationkey AS term FROM customer WHERE c_nationkey >= 10 UNION ALL SELECT 'urn:t/supplier/' || s_suppkey, 'urn:c/nation', 'urn:t/nation/' || s_nationkey FROM supplier WHERE s_nationkey >= 10")
+def taxonomy_membership(spark, sf_dir):
+    from oriel.operators import conformance
+
+    data = demo.data(spark, sf_dir)
+    taxonomy = Graph(data.quads.where("src = 'nation' and cast(substring_index(s, '/', -1) as int) < 10"))
+    properties = mapping.taxonomy_properties(conformance.declarations(demo.ontology(spark)), taxonomy)
+    return mapping.taxonomy_membership(data, properties, taxonomy)
+
+
+_CLOSED_TYPES = f"""WITH RECURSIVE {_Q}, sub AS (SELECT s a, o b FROM q WHERE p IN {_in(t.SUBCLASS, _OWL + 'equivalentClass')} AND o_kind < 2 UNION SELECT o, s FROM q WHERE p = '{_OWL}equivalentClass' AND o_kind < 2),
+up(a, b) AS (SELECT a, b FROM sub UNION SELECT up.a, sub.b FROM up JOIN sub ON up.b = sub.a), ty(s, c) AS (SELECT s, o FROM q WHERE p = '{t.TYPE}' UNION SELECT x.s, d.o FROM q x JOIN q d ON d.s = x.p AND d.p = '{t.DOMAIN}' UNION SELECT x.o, r.o FROM q x JOIN q r ON r.s = x.p AND r.p = '{t.RANGE}' WHERE x.o_kind < 2 AND NOT starts_with(r.o, '{t.XSD}'))"""
+
+
+@query("rl_types", f"{_CLOSED_TYPES} SELECT DISTINCT s, c FROM (SELECT s, c FROM ty UNION SELECT s, b FROM ty JOIN up ON c = a) WHERE starts_with(s, 'urn:t/customer/') AND c IN ('urn:k/Customer', 'urn:k/Party', 'urn:k/Agent')")
+def rl_types(spark, sf_dir):
+    part = Graph(demo.data(spark, sf_dir).quads.where("src in ('customer', 'nation')").unionByName(demo.ontology(spark).quads))
+    orders = Graph(demo.data(spark, sf_dir).quads.where("src = 'orders' and p = 'urn:c/customer'").unionByName(part.quads))
+    closed = reasoning.closure(orders, same_as=False)
+    return closed.types.where("s like 'urn:t/customer/%' and c in ('urn:k/Customer', 'urn:k/Party', 'urn:k/Agent')").select("s", "c")
+
+
+@query("owl_profiles", f"WITH {_T} SELECT 'EL' AS profile, 'unionOf' AS construct, 'urn:k/Place' AS subject UNION ALL SELECT 'QL', 'unionOf', 'urn:k/Place' UNION ALL SELECT 'RL', 'unionOf', 'urn:k/Place' UNION ALL SELECT x, 'maxCardinality', 'urn:k/Order' FROM (VALUES ('EL'), ('QL'), ('RL')) v(x) UNION ALL SELECT 'EL', 'disjointWith', s FROM oq WHERE p = '{_OWL}disjointWith' UNION ALL SELECT 'EL', 'FunctionalProperty', s FROM oq WHERE p = '{t.TYPE}' AND o = '{_OWL}FunctionalProperty' UNION ALL SELECT 'QL', 'TransitiveProperty', s FROM oq WHERE p = '{t.TYPE}' AND o = '{_OWL}TransitiveProperty' UNION ALL SELECT 'QL', 'someValuesFrom', 'urn:k/Party'")
+def owl_profiles(spark, sf_dir):
+    return reasoning.profiles(demo.ontology(spark))
+
+
+def _repair(check_id: str, spark, sf_dir):
+    g = demo.ontology(spark)
+    change = repair.repair(g, checks.run_check(g, check_id), check_id)
+    return change.added.select(F.lit("added").alias("change"), "s", "p", "o", F.coalesce("o_lang", F.lit("")).alias("lang")).union(change.removed.select(F.lit("removed").alias("change"), "s", "p", "o", F.coalesce("o_lang", F.lit("")).alias("lang")))
+
+
+@query("repair_language", f"WITH {_T} SELECT x AS change, s, p, o, CASE x WHEN 'added' THEN 'en' ELSE '' END AS lang FROM oq, (VALUES ('added'), ('removed')) v(x) WHERE p = '{t.LABEL}' AND o_lang IS NULL")
+def repair_language(spark, sf_dir):
+    return _repair("STY-003", spark, sf_dir)
+
+
+@query("repair_equivalence", f"WITH {_T} SELECT 'removed' AS change, a.s, a.p, a.o, '' AS lang FROM oq a JOIN oq b ON a.s = b.s AND a.o = b.o WHERE a.p = '{t.SUBCLASS}' AND b.p = '{_OWL}equivalentClass'")
+def repair_equivalence(spark, sf_dir):
+    return _repair("LOG-003", spark, sf_dir)
+
+
+@query("findings_by_check", f"{_ALL}, r(check_id) AS (VALUES {', '.join(f'({chr(39)}{i}{chr(39)})' for i in checks.CHECKS)}) SELECT r.check_id, count(a.check_id) AS n_findings FROM r LEFT JOIN a ON a.check_id = r.check_id GROUP BY r.check_id")
+def findings_by_check(spark, sf_dir):
+    from oriel import registry
+
+    return findings.by_check(checks.run_all(demo.shop(spark, sf_dir).stored(), literals=False), registry.table(spark)).select("check_id", "n_findings")
