@@ -49,8 +49,9 @@ def closure(g: Graph, same_as: bool = True, rounds: int = 50) -> Graph:
 
     The terminology is closed first. The assertions are then closed semi-naively: each round joins only
     the triples that the round before added with the small terminological tables, and transitive
-    properties with the whole. Equal individuals are rewritten to the least of them instead of being
-    multiplied out, and their equalities stated once.
+    properties with the whole. Individuals that a functional property makes equal are linked to the
+    least of them alone, so equalities stay few, and facts are copied along these links; ``same_as=False``
+    leaves that out.
     """
     tables = {k: materialise(v, f"rl-{k}") for k, v in _schema(g).items()}
     some = {k: not v.isEmpty() for k, v in tables.items()}
@@ -92,10 +93,12 @@ def closure(g: Graph, same_as: bool = True, rounds: int = 50) -> Graph:
             made.append(_edge(equal, "y", t.OWL + "sameAs", "x"))
         derived = reduce(DataFrame.unionByName, made).distinct()
         if same_as:
-            equal = known.where(F.col("p") == t.OWL + "sameAs").where("o_kind < 2").select(F.col("s").alias("y"), F.col("o").alias("x"))
-            both = equal.union(equal.select("x", "y")).toDF("s", "z").where("s <> z").distinct()
-            copies = fresh.where(F.col("p") != t.OWL + "sameAs").join(both, "s").select(F.col("z").alias("s"), "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
-            derived = derived.unionByName(copies).distinct()
+            pairs = lambda df: (e := df.where((F.col("p") == t.OWL + "sameAs") & (F.col("o_kind") < 2)).select("s", "o")).union(e.select("o", "s")).toDF("from", "to").where("from <> to").distinct()
+            for facts, equal in ((fresh, pairs(known)), (known, pairs(fresh))):
+                facts = facts.where(F.col("p") != t.OWL + "sameAs")
+                derived = derived.unionByName(facts.join(equal, F.col("s") == F.col("from")).select(F.col("to").alias("s"), *_KEY[1:]))
+                derived = derived.unionByName(facts.where("o_kind < 2").join(equal, F.col("o") == F.col("from")).select("s", "s_kind", "p", F.col("to").alias("o"), *_KEY[4:]))
+            derived = derived.distinct()
         on = reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in _KEY])
         fresh = materialise(derived.alias("x").join(known.alias("y"), on, "left_anti").select(*[f"x.{c}" for c in _KEY]), "rl-new")
         if fresh.isEmpty():

@@ -672,16 +672,16 @@ class Compiler:
             if args[0][0] == "all":
                 return _make(F.count("*"), dt=t.XSD + "integer")
             x = self.term(args[0], names)
-            return _make(F.countDistinct(x) if distinct else F.count(x), dt=t.XSD + "integer")
+            whole = F.when(x["kind"].isNotNull(), F.concat_ws("\x01", x["value"], x["kind"].cast("string"), F.coalesce(x["dt"], F.lit("")), F.coalesce(x["lang"], F.lit(""))))
+            return _make(F.countDistinct(whole) if distinct else F.count(x["kind"]), dt=t.XSD + "integer")
         x = self.term(args[0], names)
         n = x["value"].try_cast("double")
         if name in ("SUM", "AVG"):
             return _make(F.coalesce((F.sumDistinct if distinct and name == "SUM" else {"SUM": F.sum, "AVG": F.avg}[name])(n), F.lit(0.0)), dt=t.XSD + "decimal")
-        if name in ("MIN", "MAX"):
-            pick = {"MIN": F.min, "MAX": F.max}[name]
-            return pick(F.when(x.isNotNull(), F.struct(n.alias("n"), x.alias("x"))))["x"]
-        if name == "SAMPLE":
-            return F.min(x)
+        if name in ("MIN", "MAX", "SAMPLE"):
+            # fields one by one: an aggregate that reads a struct both whole and in part is not planned well
+            best = (F.max if name == "MAX" else F.min)(F.when(x["kind"].isNotNull(), F.struct(n.alias("n"), *[x[c].alias(c) for c in ("value", "kind", "dt", "lang")])))
+            return F.when(best.isNotNull(), F.struct(*[best[c].alias(c) for c in ("value", "kind", "dt", "lang")]))
         values = F.array_sort((F.collect_set if distinct else F.collect_list)(x["value"]))
         return _make(F.array_join(values, separator))
 
