@@ -40,6 +40,7 @@ BRUTE = 48
 LOCAL = 4096
 DEPTH = 12
 DOCS_PER_TASK = 1500
+PAIRS_AT_ONCE = 50_000
 _SALT = np.random.default_rng(5).integers(1, 2**63, COORDINATES, dtype=np.uint64) * k.U(2) + k.U(1)
 
 
@@ -102,17 +103,23 @@ def children(node: np.ndarray, sign: np.ndarray) -> list[np.ndarray]:
     return [k.mix(node * k.K2 + (c.astype(np.uint64) << k.U(16)) + sign[np.arange(len(node)), c].astype(np.uint64) + k.U(1)) for c in draws(node)]
 
 
-def brute(sign: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that agree in ``least`` coordinates or more."""
-    a, b = [], []
+def brute(sign: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that agree in ``least`` coordinates or more, some at a time."""
     if len(sign) <= BRUTE:
         agree = (sign[:, None, :] == sign[None, :, :]).sum(2) >= least
-        return np.nonzero(np.triu(agree, 1))
+        yield np.nonzero(np.triu(agree, 1))
+        return
+    a, b, held = [], [], 0
     for i in range(len(sign) - 1):
         hit = np.flatnonzero((sign[i + 1 :] == sign[i]).sum(1) >= least) + i + 1
         a.append(np.full(len(hit), i))
         b.append(hit)
-    return np.concatenate(a), np.concatenate(b)
+        held += len(hit)
+        if held >= PAIRS_AT_ONCE:
+            yield np.concatenate(a), np.concatenate(b)
+            a, b, held = [], [], 0
+    if a:
+        yield np.concatenate(a), np.concatenate(b)
 
 
 def alike(sign: np.ndarray, threshold: float) -> bool:
@@ -129,9 +136,9 @@ def split(node: int, member: np.ndarray, sign: np.ndarray, depth: int, threshold
         if len(own) < 2:
             continue
         if len(own) <= BRUTE or depth >= DEPTH or alike(sign[own], threshold):
-            a, b = brute(sign[own], least)
-            if len(a):
-                yield node, member[own[a]], member[own[b]]
+            for a, b in brute(sign[own], least):
+                if len(a):
+                    yield node, member[own[a]], member[own[b]]
             continue
         for child in children(np.full(len(own), node, np.uint64), sign[own]):
             order = np.argsort(child, kind="stable")
@@ -170,7 +177,7 @@ def _level(depth: int, threshold: float, local: int):
             sign = _unpack(table.column("sign"))
             cut = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
             size = np.diff(cut)
-            leaf, a, b = [], [], []
+            leaf, a, b, held = [], [], [], 0
             for g in np.flatnonzero(size > 1):
                 own = slice(cut[g], cut[g + 1])
                 if size[g] > local and depth < DEPTH:
@@ -180,6 +187,10 @@ def _level(depth: int, threshold: float, local: int):
                     leaf.append(np.full(len(x), at, np.uint64))
                     a.append(x)
                     b.append(y)
+                    held += len(x)
+                    if held >= PAIRS_AT_ONCE:
+                        yield pairs(leaf, a, b)
+                        leaf, a, b, held = [], [], [], 0
             if a:
                 yield pairs(leaf, a, b)
 
