@@ -67,18 +67,18 @@ _SQL = {
     "QUA-003": f"SELECT s f, term p, NULL v FROM (SELECT s, p term FROM q UNION SELECT s, o FROM q WHERE p = '{t.TYPE}') WHERE term IN (SELECT s FROM q WHERE p = '{_OWL}deprecated' AND o IN ('true', '1'))",
     "QUA-004": f"SELECT n f, '{t.PREF_LABEL}' p, NULL v FROM (SELECT s n FROM q WHERE s_kind = 0 UNION SELECT p FROM q UNION SELECT o FROM q WHERE o_kind = 0) WHERE NOT starts_with(n, '{t.W3C}') AND n NOT IN (SELECT s FROM q WHERE p IN {_in(t.LABEL, t.PREF_LABEL)}) AND n NOT IN (SELECT o FROM q WHERE o_kind = 0 AND p IN {_in(_OWL + 'versionIRI', t.SEE_ALSO)})",
     "QUA-005": f"SELECT '{t.WHOLE_GRAPH}' f, NULL p, NULL v WHERE NOT EXISTS (SELECT 1 FROM {_typed(t.ONTOLOGY)})",
-    "QUA-006": f"SELECT x.s f, NULL p, y.s v FROM {_typed(t.ONTOLOGY)} x JOIN {_typed(t.CLASS, *t.PROPERTY_KINDS)} y ON regexp_replace(y.s, '^(.*[/#])[^/#]*$', '\\1') = x.s",
+    "QUA-006": f"SELECT x.s f, NULL p, y.s v FROM {_typed(t.ONTOLOGY)} x JOIN {_typed(t.CLASS, *t.PROPERTY_KINDS)} y ON regexp_replace(y.s, '^(.*[#/])[^#/]*$', '\\1') = x.s",
     "QUA-007": f"SELECT s f, NULL p, NULL v FROM {_typed(t.ONTOLOGY)} WHERE s NOT IN (SELECT s FROM q WHERE p = '{_OWL}versionIRI')",
     "QUA-008": f"SELECT s f, NULL p, i v FROM (SELECT s, s i FROM {_typed(t.ONTOLOGY)} UNION SELECT s, o FROM q WHERE p = '{_OWL}versionIRI' AND s IN {_typed(t.ONTOLOGY)}) WHERE i NOT LIKE 'https://%'",
     "EFF-001": "SELECT x0.a f, NULL p, x5.b v FROM sub x0, sub x1, sub x2, sub x3, sub x4, sub x5 WHERE x0.b = x1.a AND x1.b = x2.a AND x2.b = x3.a AND x3.b = x4.a AND x4.b = x5.a AND x0.a NOT IN (x0.b, x1.b, x2.b, x3.b, x4.b, x5.b) AND x0.b <> x1.b AND x1.b <> x2.b AND x2.b <> x3.b AND x3.b <> x4.b AND x4.b <> x5.b",
     "EFF-002": f"SELECT '{t.WHOLE_GRAPH}' f, NULL p, NULL v FROM (SELECT s n, s_kind k FROM q UNION SELECT o, o_kind FROM q WHERE o_kind < 2) HAVING sum(k) * 1.0 / count(*) > 0.2",
     "EFF-003": f"SELECT s f, p, NULL v FROM q WHERE p <> '{t.TYPE}' GROUP BY s, p HAVING count(*) > 50",
-    "STY-001": f"SELECT s f, NULL p, NULL v FROM q WHERE p = '{t.TYPE}' AND o = '{t.CLASS}' AND s_kind = 0 AND NOT regexp_matches({_LOCAL.format('s')}, '^[A-Z][A-Za-z0-9]*$')",
-    "STY-002": f"SELECT s f, NULL p, NULL v FROM q WHERE p = '{t.TYPE}' AND o IN {_in(t.OBJECT_PROPERTY, t.DATATYPE_PROPERTY)} AND s_kind = 0 AND NOT regexp_matches({_LOCAL.format('s')}, '^[a-z][A-Za-z0-9]*$')",
+    "STY-001": f"SELECT s f, NULL p, NULL v FROM q WHERE p = '{t.TYPE}' AND o = '{t.CLASS}' AND s_kind = 0 AND NOT regexp_matches({_LOCAL.format('s')}, '^[A-Z][0-9A-Za-z]*$')",
+    "STY-002": f"SELECT s f, NULL p, NULL v FROM q WHERE p = '{t.TYPE}' AND o IN {_in(t.OBJECT_PROPERTY, t.DATATYPE_PROPERTY)} AND s_kind = 0 AND NOT regexp_matches({_LOCAL.format('s')}, '^[a-z][0-9A-Za-z]*$')",
     "STY-003": f"SELECT s f, NULL p, o v FROM q WHERE p = '{t.LABEL}' AND o_kind = 2 AND o_lang IS NULL",
     "STY-004": f"SELECT x.s f, '{t.PREF_LABEL}' p, o v FROM {_typed(*_TERMS, t.ANNOTATION_PROPERTY)} x JOIN q ON q.s = x.s WHERE p = '{t.PREF_LABEL}' AND NOT starts_with(x.s, '{t.W3C}') AND lower(regexp_replace({_LOCAL.format('x.s')}, '[^A-Za-z0-9]', '', 'g')) <> lower(regexp_replace(o, '[^A-Za-z0-9]', '', 'g'))",
-    "STY-005": f"SELECT '{t.WHOLE_GRAPH}' f, NULL p, string_agg(DISTINCT x, '|' ORDER BY x) v FROM (SELECT regexp_replace({_LOCAL.format('s')}, '[a-zA-Z0-9]+([^a-zA-Z0-9:#/ ])[a-zA-Z0-9]+.*', '\\1') x FROM {_typed(*_TERMS)}) WHERE regexp_matches(x, '[^a-zA-Z0-9:#/ ]') HAVING count(DISTINCT x) > 1",
-    "DAT-001": f"SELECT s f, p, o v FROM q WHERE o_kind = 2 AND ((o_dt = '{t.XSD}date' AND NOT regexp_matches(o, '^-?[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(Z|[+-][0-9]{{2}}:[0-9]{{2}})?$')) OR (o_dt = '{t.XSD}integer' AND NOT regexp_matches(o, '^[+-]?[0-9]+$')) OR (o_dt = '{t.XSD}boolean' AND o NOT IN ('true', 'false', '1', '0')))",
+    "STY-005": f"SELECT '{t.WHOLE_GRAPH}' f, NULL p, string_agg(DISTINCT x, '|' ORDER BY x) v FROM (SELECT regexp_replace({_LOCAL.format('s')}, '[0-9A-Za-z]+([^0-9A-Za-z:/# ])[0-9A-Za-z]+.*', '\\1') x FROM {_typed(*_TERMS)}) WHERE regexp_matches(x, '[^0-9A-Za-z:/# ]') HAVING count(DISTINCT x) > 1",
+    "DAT-001": rf"SELECT s f, p, o v FROM q WHERE o_kind = 2 AND ((o_dt = '{t.XSD}date' AND NOT regexp_matches(o, '^-?\d{{4}}-\d\d-\d\d(?:Z|[-+]\d\d:\d\d)?$')) OR (o_dt = '{t.XSD}integer' AND NOT regexp_matches(o, '^[-+]?\d+$')) OR (o_dt = '{t.XSD}boolean' AND o NOT IN ('true', 'false', '1', '0')))",
     "DAT-002": f"SELECT s f, p, o v FROM q WHERE o_kind = 0 AND p NOT IN {_in(t.TYPE, t.SEE_ALSO)} AND NOT starts_with(o, '{t.W3C}') AND o NOT IN (SELECT s FROM q) AND o NOT IN (SELECT o FROM q WHERE o_kind < 2 AND p IN {_in(t.TYPE, _OWL + 'versionIRI')})",
     "DAT-003": "SELECT s f, p, NULL v FROM q WHERE o_kind = 2 GROUP BY s, p, o HAVING count(*) > 1",
     "REA-001": f"SELECT x.s f, NULL p, x.o || ', ' || y.o v FROM q x JOIN q y ON x.s = y.s AND x.o < y.o WHERE x.p = '{t.TYPE}' AND y.p = '{t.TYPE}' AND EXISTS (SELECT 1 FROM q d WHERE d.p = '{_OWL}disjointWith' AND ((d.s = x.o AND d.o = y.o) OR (d.s = y.o AND d.o = x.o)))",
@@ -439,7 +439,7 @@ def sparql_update(spark, sf_dir):
     return added.select(F.lit("added").alias("change"), "s", "o").union(removed.select(F.lit("removed").alias("change"), "s", "o"))
 
 
-@query("literal_supplement", f"WITH {_Q} SELECT s AS focus, p AS path, o AS value FROM q WHERE o_kind = 2 AND ((o_dt = '{t.XSD}date' AND try_cast(o AS DATE) IS NULL) OR (o_dt = '{t.XSD}integer' AND NOT regexp_matches(o, '^[+-]?[0-9]+$')))")
+@query("literal_supplement", rf"WITH {_Q} SELECT s AS focus, p AS path, o AS value FROM q WHERE o_kind = 2 AND ((o_dt = '{t.XSD}date' AND try_cast(o AS DATE) IS NULL) OR (o_dt = '{t.XSD}integer' AND NOT regexp_matches(o, '^[-+]?\d+$')))")
 def literal_supplement(spark, sf_dir):
     return checks.ill_typed_literals(demo.shop(spark, sf_dir)).select("focus", "path", "value")
 
