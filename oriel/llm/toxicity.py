@@ -4,9 +4,10 @@ A word's embedding is the mean of hashed rows: one for the word and one for each
 pieces. Filters of several widths slide over the words, each is max-pooled over the whole document,
 and a logistic layer reads the pooled values. It is trained in numpy with Adam on a bounded sample:
 the ``per_class`` labelled documents of each class with the least hashes of their doc_id, of which one
-in four is held out. Thresholds are calibrated by language on the held-out part: the one with the best
-F1, the middle of the gap it falls in; a language with under ``LEAST_HELD`` held-out documents of a
-class uses the threshold of all.
+in four is held out. Thresholds are calibrated by language on all labelled documents that were not
+trained on, each class weighted to its share among all labelled ones: the one with the best F1, the
+middle of the gap it falls in; a language with under ``LEAST_HELD`` such documents of a class uses the
+threshold of all.
 
 Scoring never multiplies matrices per position: a filter's response is a sum of projections that are
 computed once for each distinct word.
@@ -30,6 +31,7 @@ from pyspark.sql.window import Window
 
 from oriel.llm import kernel as k
 from oriel.ship import map_arrow
+from oriel.storage import materialise
 
 PER_CLASS = 1200
 BUCKETS = 1 << 17
@@ -210,57 +212,98 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return model
 
 
-def best_limit(score: np.ndarray, label: np.ndarray) -> float:
-    """The threshold with the best F1, in the middle of the gap between neighbouring scores."""
-    order = np.argsort(-score, kind="stable")
-    s, y = score[order], label[order]
-    hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(len(y)) + 1 + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    i = int(np.argmax(f1))
-    return float((s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2)
+def known_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic``: the greatest label of each document."""
+    return labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS) -> Model | None:
-    """A model with thresholds by language, or None without labels of both classes."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+def learn(docs: DataFrame, known: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS) -> tuple[Model | None, list[int]]:
+    """A model without thresholds and the documents it was trained on, or None without labels of both classes."""
     by = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = {r.doc_id: r.toxic for r in known.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_class).collect()}
-    rows = docs.where(F.col("doc_id").isin(sorted(picked))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).collect() if picked else []
+    rows = docs.where(F.col("doc_id").isin(sorted(picked))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).collect() if picked else []
     rows = sorted({r.doc_id: r for r in rows if r.text and r.text.strip()}.values(), key=lambda r: r.doc_id)
     label = np.array([int(picked[r.doc_id] > 0) for r in rows])
     if not len(rows) or label.min() == label.max():
-        return None
+        return None, []
     held = np.zeros(len(rows), bool)
     held[np.random.default_rng(11).permutation(len(rows))[: len(rows) // 4]] = True
     model = train([r.text for r, h in zip(rows, held, strict=True) if not h], label[~held], epochs)
-    checked = np.flatnonzero(held) if held.any() and label[held].min() != label[held].max() else np.arange(len(rows))
-    score = np.concatenate([scores(pa.array([rows[i].text for i in checked[at : at + 64]], pa.string()), model) for at in range(0, len(checked), 64)])
-    language = np.array([rows[i].lang or "" for i in checked])
-    model.limits[None] = best_limit(score, label[checked])
-    for lang in sorted(set(language)):
-        own = language == lang
-        if min(label[checked][own].sum(), (1 - label[checked][own]).sum()) >= LEAST_HELD:
-            model.limits[lang] = best_limit(score[own], label[checked][own])
-    return model
+    return model, [r.doc_id for r, h in zip(rows, held, strict=True) if not h]
 
 
-def classify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Score and verdict of each document."""
+def calibrate(scored: DataFrame, known: DataFrame, trained: list[int]) -> dict[str | None, float]:
+    """Thresholds by language, and at None that of all, from every labelled document that was not trained on.
+
+    The threshold is the one with the best F1, in the middle of the gap between neighbouring scores. Each
+    class counts with its share among all labelled documents, however few of it training left over.
+    Running counts are two-level: within steps of the log-odds, and over the steps.
+    """
+    keys = ["whole", "lang", "step"]
+    odds = F.log(F.greatest("score", F.lit(1e-12))) - F.log(F.greatest(1 - F.col("score"), F.lit(1e-12)))
+    held = ~F.col("doc_id").isin(trained) if trained else F.lit(True)
+    each = scored.where("score > 0").join(known.select("doc_id", (F.col("toxic") > 0).cast("long").alias("y")), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("lang", "score")).alias("m")).select("y", held.cast("long").alias("held"), "m.lang", "m.score")
+    each = each.withColumn("whole", F.explode(F.array(F.lit(True), F.lit(False)))).where("whole or lang is not null").withColumn("lang", F.expr("if(whole, '', lang)"))
+    points = materialise(each.groupBy("whole", "lang", F.floor(odds * 32).alias("step"), "score").agg(F.sum(F.expr("held * y")).alias("hit"), F.sum(F.expr("held * (1 - y)")).alias("miss"), F.sum("y").alias("toxic"), F.sum(F.expr("1 - y")).alias("clean")), "toxicity")
+    of, down = Window.partitionBy("whole", "lang"), Window.partitionBy("whole", "lang").orderBy(F.desc("step"))
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    steps = points.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("hit", "miss", "toxic", "clean")], F.max(F.expr("if(hit + miss > 0, score, null)")).alias("top"))
+    steps = steps.withColumns({f"all_{c}": F.sum(c).over(of) for c in ("hit", "miss", "toxic", "clean")}).where("top is not null")
+    steps = steps.withColumns({"hits": F.coalesce(F.sum("hit").over(above), F.lit(0)), "misses": F.coalesce(F.sum("miss").over(above), F.lit(0)), "below": F.lead("top").over(down)}).drop("hit", "miss", "toxic", "clean")
+    steps = steps.where(f"least(all_hit, all_miss) >= if(whole, 1, {LEAST_HELD})")
+    inner = Window.partitionBy(*keys).orderBy(F.desc("score"))
+    runs = points.where("hit + miss > 0").join(steps, keys).withColumns({"hits": F.col("hits") + F.sum("hit").over(inner), "misses": F.col("misses") + F.sum("miss").over(inner), "below": F.coalesce(F.lead("score").over(inner), "below", F.lit(0.0))})
+    runs = runs.withColumn("caught", F.expr("cast(hits as double) * all_toxic / all_hit"))
+    f1 = F.expr("2 * caught / (caught + cast(misses as double) * all_clean / all_miss + all_toxic)")
+    best = runs.groupBy("whole", "lang").agg(F.max(F.struct(f1.alias("f1"), "score", "below")).alias("m")).collect()
+    limits = {None if r.whole else r.lang: (r.m.score + r.m.below) / 2 for r in best}
+    return limits if None in limits or not trained else calibrate(scored, known, [])
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS) -> tuple[Model | None, DataFrame]:
+    """A model with thresholds by language, or None without labels of both classes; the scores of ``docs``."""
+    known = known_labels(labels)
+    model, trained = learn(docs, known, per_class, epochs)
+    scored = score(docs, model)
+    if model is not None:
+        scored = materialise(scored, "toxicity")
+        model.limits = calibrate(scored, known, trained)
+    return model, scored
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS) -> Model | None:
+    """A model with thresholds by language, or None without labels of both classes."""
+    return fit_and_score(docs, labels, per_class, epochs)[0]
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``doc_id, lang, score`` of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part in k.chunks(batch):
-                score = scores(part.column(2), model)
-                limit = np.array([model.limits.get(x, model.limits[None]) for x in part.column(1).to_pylist()]) if model else np.full(len(score), 2.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score > limit) & (score > 0))], ["doc_id", "lang", "score", "toxic"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores(part.column(2), model))], ["doc_id", "lang", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return map_arrow(slim, run, "doc_id long, lang string, score double, toxic boolean")
+    return map_arrow(slim, run, "doc_id long, lang string, score double")
+
+
+def judge(scored: DataFrame, model: Model | None) -> DataFrame:
+    """The verdict by each score."""
+    own = {x: v for x, v in (model.limits if model else {}).items() if x is not None}
+    limit = F.lit(model.limits[None] if model else 2.0)
+    if own:
+        limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), F.col("lang")), limit)
+    return scored.withColumn("toxic", (F.col("score") > limit) & (F.col("score") > 0))
+
+
+def classify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Score and verdict of each document."""
+    return judge(score(docs, model), model)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return classify(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model, scored = fit_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(scored, model)

@@ -136,6 +136,39 @@ def test_toxicity_on_held_out_rows(spark):
     assert right / len(got) >= 0.95
 
 
+def test_thresholds_from_all_labelled_rows(spark):
+    """Against loops; few toxic documents are left over by training, and one language is rare."""
+    rng = random.Random(6)
+    rows = [(i, "xx" if i % 50 == 0 else rng.choice(["en", "de", None]), rng.choice([0.0, *[round(rng.random(), 2)] * 9]), rng.random() < 0.15) for i in range(4000)]
+    trained = [i for i, _, _, y in rows if (y and i % 4) or i % 11 == 0]
+    known = spark.createDataFrame([(i, int(y)) for i, _, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.calibrate(spark.createDataFrame([r[:3] for r in rows], "doc_id long, lang string, score double"), known, [])
+    part = toxicity.calibrate(spark.createDataFrame([r[:3] for r in rows], "doc_id long, lang string, score double"), known, trained)
+    for limits, left_out in ((got, set()), (part, set(trained))):
+        for lang in (None, "en", "de", "xx"):
+            own = [(i, s, y) for i, x, s, y in rows if s > 0 and lang in (None, x)]
+            held = [r for r in own if r[0] not in left_out]
+            weight = {c: sum(y == c for *_, y in own) / max(1, sum(y == c for *_, y in held)) for c in (False, True)}
+            if lang and min(sum(y == c for *_, y in held) for c in (False, True)) < toxicity.LEAST_HELD:
+                assert lang not in limits
+                continue
+            steps = sorted({s for _, s, _ in held}, reverse=True)
+            f1 = []
+            for at in steps:
+                hit, miss = (sum(weight[c] for _, s, y in held if s >= at and y == c) for c in (True, False))
+                f1.append(2 * hit / (hit + miss + sum(y for *_, y in own)))
+            i = max(range(len(steps)), key=lambda j: (round(f1[j], 9), steps[j]))
+            assert limits[lang] == pytest.approx((steps[i] + [*steps, 0][i + 1]) / 2)
+
+
+def test_rare_language_has_a_threshold_of_its_own(spark):
+    """The sample of training holds nearly nothing of it, the labels enough."""
+    docs, labels = toxic_corpus(1200)
+    docs = [(i, text, "xx" if i % 20 < 2 else "en", s, n) for i, text, _, s, n in docs]
+    model = toxicity.fit(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), per_class=40)
+    assert {None, "en", "xx"} == set(model.limits)
+
+
 def test_pooling_against_loops():
     rng = np.random.default_rng(1)
     model = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, toxicity.SIZE)).astype(np.float32), rng.normal(size=(toxicity.SIZE, sum(toxicity.WIDTHS) * toxicity.FILTERS)).astype(np.float32), np.zeros(len(toxicity.WIDTHS) * toxicity.FILTERS, np.float32), np.ones(len(toxicity.WIDTHS) * toxicity.FILTERS, np.float32), 0.0)
