@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from oriel import findings
 from oriel import terms as t
-from oriel.fixpoint import frontier, nearest_named, transitive_closure
+from oriel.fixpoint import frontier, list_members, nearest_named, transitive_closure
 from oriel.graph import Graph
 from oriel.operators import checks
 from oriel.registry import CHECKS
-from oriel.storage import materialise
+from oriel.storage import materialise, release
 
 _KEY = ["s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang"]
 
@@ -24,40 +24,129 @@ def _edge(df: DataFrame, s: str, p, o: str) -> DataFrame:
     return df.select(F.col(s).alias("s"), kind(s).alias("s_kind"), p.alias("p"), F.col(o).alias("o"), kind(o).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
 
 
+#: Predicates whose objects are collections that rules read.
+_LISTS = [t.OWL + x for x in ("intersectionOf", "unionOf", "oneOf", "hasKey", "propertyChainAxiom")]
+_VALUE = ["v", "v_kind", "v_dt", "v_lang"]
+
+
+def _lists(g: Graph) -> DataFrame:
+    """``kind, key, owner, i, member, n``: members of the collections, from 0, and their number."""
+    owned = g.of(*_LISTS).where("o_kind < 2").select(F.concat_ws("\n", "p", "s", "o").alias("key"), F.col("p").alias("kind"), F.col("s").alias("owner"), "o")
+    owned = materialise(owned, "rl-owned")
+    # a cell before each list's first makes it a head, even where another list goes on with it
+    first = g.edges(t.RDF + "first").union(owned.select("key", F.lit("")))
+    rest = g.edges(t.RDF + "rest").union(owned.select("key", "o"))
+    members = list_members(first, rest, t.RDF + "nil").where("position > 0").withColumnRenamed("head", "key")
+    found = owned.drop("o").join(members, "key").select("kind", "key", "owner", (F.col("position") - 1).alias("i"), "member")
+    return found.join(found.groupBy("key").agg(F.count("*").alias("n")), "key")
+
+
 def _schema(g: Graph) -> dict[str, DataFrame]:
-    """The terminological part, closed by itself: hierarchies, inverses, characteristics, restrictions."""
+    """The terminological part, closed by itself: hierarchies, inverses, characteristics, restrictions, collections."""
+    lists = materialise(_lists(g), "rl-lists")
+    of_kind = lambda name: lists.where(F.col("kind") == t.OWL + name)
     equal = g.edges(t.OWL + "equivalentClass")
-    sub = transitive_closure(g.edges(t.SUBCLASS).union(equal).union(equal.select("b", "a")))
     same = g.edges(t.OWL + "equivalentProperty")
-    subp = transitive_closure(g.edges(t.RDFS + "subPropertyOf").union(same).union(same.select("b", "a")))
-    inverse = g.edges(t.OWL + "inverseOf")
+    subp = materialise(transitive_closure(g.edges(t.RDFS + "subPropertyOf").union(same).union(same.select("b", "a"))), "rl-subp")
+    on = g.edges(t.OWL + "onProperty").toDF("r", "p")
+    value = lambda p: materialise(on.join(g.edges(t.OWL + p).toDF("r", "v"), "r"), "rl-value")
+    some, every = value("someValuesFrom"), value("allValuesFrom")
+    has = materialise(on.join(g.of(t.OWL + "hasValue").select("s", "o", "o_kind", "o_dt", "o_lang").toDF("r", *_VALUE), "r"), "rl-has")
+    edges = g.edges(t.SUBCLASS).union(equal).union(equal.select("b", "a"))
+    edges = edges.union(of_kind("intersectionOf").select("owner", "member")).union(of_kind("unionOf").select("member", "owner"))
+    below = subp.select(F.col("a").alias("x_p"), F.col("b").alias("y_p"))
+    ends = lambda df, left: df.toDF(*[f"{left}_{c}" for c in df.columns])
+
+    def by_property(df: DataFrame, values: list[str]) -> DataFrame:
+        """Restrictions x and y on the same value, x on a property below that of y."""
+        x, y = ends(df, "x"), ends(df, "y")
+        alike = reduce(lambda p, q: p & q, [F.col(f"x_{c}").eqNullSafe(F.col(f"y_{c}")) for c in values])
+        return x.join(below, ["x_p"]).join(y, ["y_p"]).where(alike)
+
+    r = lambda df, a, b: df.select(F.col(f"{a}_r").alias("a"), F.col(f"{b}_r").alias("b"))
+    edges = edges.union(r(by_property(some, ["v"]), "x", "y")).union(r(by_property(every, ["v"]), "y", "x")).union(r(by_property(has, _VALUE), "x", "y"))
+    edges = materialise(edges.distinct(), "rl-edges")
+    while True:
+        sub = materialise(transitive_closure(edges), "rl-sub")
+        above = sub.select(F.col("a").alias("x_v"), F.col("b").alias("y_v"))
+        more = [r(ends(df, "x").join(above, ["x_v"]).join(ends(df.withColumnRenamed("p", "q"), "y"), ["y_v"]).where("x_p = y_q"), "x", "y") for df in (some, every)]
+        more = materialise(more[0].union(more[1]).distinct().join(sub, ["a", "b"], "left_anti").where("a <> b"), "rl-more")
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
     pair = lambda p: g.edges(p).toDF("p", "c")
     with_supers = lambda df: df.union(df.join(sub, F.col("c") == F.col("a")).select("p", F.col("b").alias("c"))).distinct()
     inherit = lambda df: df.union(df.withColumnRenamed("p", "q").join(subp, F.col("q") == F.col("b")).select(F.col("a").alias("p"), "c")).distinct()
     kind = lambda name: g.typed(t.OWL + name).select(F.col("s").alias("p"))
-    on = g.edges(t.OWL + "onProperty").toDF("r", "p")
-    value = lambda p: on.join(g.edges(t.OWL + p).toDF("r", "v"), "r")
+    inverse = g.edges(t.OWL + "inverseOf")
+    one = lambda name: on.join(g.of(t.OWL + name).where(F.col("o").try_cast("int") == 1).select(F.col("s").alias("r")), "r")
     return {
         "sub": sub.where("a <> b"), "subp": subp.where("a <> b"), "inverse": inverse.union(inverse.select("b", "a")).distinct(), "domain": with_supers(inherit(pair(t.DOMAIN))), "range": with_supers(inherit(pair(t.RANGE))),
         "symmetric": kind("SymmetricProperty"), "transitive": kind("TransitiveProperty"), "functional": kind("FunctionalProperty"), "inverse_functional": kind("InverseFunctionalProperty"),
-        "some": value("someValuesFrom"), "all": value("allValuesFrom"), "has": value("hasValue"), "chain": g.edges(t.OWL + "propertyChainAxiom"),
+        "some": some, "all": every, "has": has, "max": one("maxCardinality"), "max_of": one("maxQualifiedCardinality").join(g.edges(t.OWL + "onClass").toDF("r", "v"), "r"),
+        "both": of_kind("intersectionOf").select("key", "owner", "member", "n").distinct(), "one_of": of_kind("oneOf").select("owner", "member"),
+        "chain": of_kind("propertyChainAxiom").select("key", "owner", "i", "member", "n"), "keys": of_kind("hasKey").select("key", "owner", "i", "member", "n"),
     }
 
 
-def closure(g: Graph, same_as: bool = True, rounds: int = 50) -> Graph:
+def _mutual(pairs: DataFrame) -> DataFrame:
+    return pairs.intersect(pairs.select("b", "a"))
+
+
+def _equal(groups: DataFrame, by: list[str], member: str) -> DataFrame:
+    """Each member but the least of its group, linked to that."""
+    groups = groups.select(*by, member).distinct()
+    return groups.join(groups.groupBy(*by).agg(F.min(member).alias("x")), by).where(F.col(member) != F.col("x")).select("x", F.col(member).alias("y")).distinct()
+
+
+def _same(known: DataFrame, tables: dict[str, DataFrame], some: dict[str, bool]) -> list[DataFrame]:
+    """``x, y``: what functional properties, maximum cardinalities of 1 and keys make equal."""
+    links = known.where((F.col("p") != t.TYPE) & (F.col("o_kind") < 2)).select("s", "p", "o")
+    types = known.where(F.col("p") == t.TYPE).select("s", F.col("o").alias("c"))
+    made = []
+    if some["functional"]:
+        made.append(_equal(links.join(tables["functional"], "p"), ["s", "p"], "o"))
+    if some["inverse_functional"]:
+        made.append(_equal(links.join(tables["inverse_functional"], "p"), ["o", "p"], "s"))
+    for name in ("max", "max_of"):
+        if some[name]:
+            held = links.join(tables[name], "p").join(types.withColumnRenamed("c", "r"), ["s", "r"])
+            if name == "max_of":
+                of = types.select(F.col("s").alias("o"), F.col("c").alias("v"))
+                held = held.where(F.col("v") == t.OWL + "Thing").select("s", "r", "p", "o").union(held.join(of, ["o", "v"]).select("s", "r", "p", "o"))
+            made.append(_equal(held, ["s", "r", "p"], "o"))
+    if some["keys"]:
+        # tuples of values, one property of the key after the other; a null in to_json is left out, so kinds stay apart
+        of = known.select("s", F.col("p").alias("member"), F.to_json(F.struct("o", "o_kind", "o_dt", "o_lang")).alias("value"))
+        state = types.join(tables["keys"].where("i = 0").select("key", F.col("owner").alias("c"), "n"), "c").select("key", "n", "s", F.lit("").alias("values"))
+        for i in range(tables["keys"].agg(F.max("n")).first()[0]):
+            step = state.where(F.col("n") > i).join(tables["keys"].where(F.col("i") == i).select("key", "member"), "key").join(of, ["s", "member"])
+            state = state.where(F.col("n") <= i).unionByName(step.select("key", "n", "s", F.concat_ws("\n", "values", "value").alias("values")))
+        made.append(_equal(state, ["key", "values"], "s"))
+    return made
+
+
+def closure(g: Graph, same_as: bool = True, rounds: int | None = None) -> Graph:
     """The graph with what OWL 2 RL and RDFS rules derive; no axiomatic or datatype triples.
 
     The terminology is closed first. The assertions are then closed semi-naively: each round joins only
     the triples that the round before added with the small terminological tables, and transitive
-    properties with the whole. Individuals that a functional property makes equal are linked to the
-    least of them alone, so equalities stay few, and facts are copied along these links; ``same_as=False``
-    leaves that out.
+    properties, chains, keys and the like with the whole. Individuals that a functional property, a
+    maximum cardinality of 1 or a key makes equal are linked to the least of them alone, so equalities
+    stay few, and facts are copied along these links; ``same_as=False`` leaves that out. Rounds go on
+    until nothing is new; if ``rounds`` are not enough, a RuntimeError is raised. README lists the rules
+    that are left out.
     """
     tables = {k: materialise(v, f"rl-{k}") for k, v in _schema(g).items()}
     some = {k: not v.isEmpty() for k, v in tables.items()}
-    known = materialise(g.triples.unionByName(_edge(tables["sub"], "a", t.SUBCLASS, "b")).unionByName(_edge(tables["subp"], "a", t.RDFS + "subPropertyOf", "b")).distinct(), "rl")
-    fresh = known
-    for _ in range(rounds):
+    stated = [g.triples, _edge(tables["sub"], "a", t.SUBCLASS, "b"), _edge(tables["subp"], "a", t.RDFS + "subPropertyOf", "b"), _edge(_mutual(tables["sub"]), "a", t.OWL + "equivalentClass", "b"), _edge(_mutual(tables["subp"]), "a", t.OWL + "equivalentProperty", "b")]
+    stated += [_edge(tables["domain"], "p", t.DOMAIN, "c"), _edge(tables["range"], "p", t.RANGE, "c"), _edge(tables["one_of"], "member", t.TYPE, "owner")]
+    known = materialise(reduce(DataFrame.unionByName, stated).distinct(), "rl")
+    fresh, done = known, 0
+    while True:
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"the closure is not complete after {rounds} rounds")
+        done += 1
         links = fresh.where((F.col("p") != t.TYPE) & (F.col("o_kind") < 2))
         types = fresh.where(F.col("p") == t.TYPE).select("s", F.col("o").alias("c"))
         every_type = known.where(F.col("p") == t.TYPE).select("s", F.col("o").alias("c"))
@@ -81,16 +170,27 @@ def closure(g: Graph, same_as: bool = True, rounds: int = 50) -> Graph:
             made += [_edge(step(new, old), "s", F.col("p"), "o"), _edge(step(old, new), "s", F.col("p"), "o")]
         if some["some"]:
             made.append(_edge(every_link.join(tables["some"], "p").join(every_type.select(F.col("s").alias("o"), F.col("c").alias("v")), ["o", "v"]), "s", t.TYPE, "r"))
+            made.append(_edge(fresh.join(tables["some"].where(F.col("v") == t.OWL + "Thing").select("p", "r"), "p"), "s", t.TYPE, "r"))
         if some["all"]:
             made.append(_edge(every_link.join(tables["all"], "p").join(every_type.select("s", F.col("c").alias("r")), ["s", "r"]), "o", t.TYPE, "v"))
         if some["has"]:
-            made.append(_edge(types.join(tables["has"], F.col("c") == F.col("r")), "s", F.col("p"), "v"))
-            made.append(_edge(links.select("s", "p", F.col("o").alias("v")).join(tables["has"], ["p", "v"]), "s", t.TYPE, "r"))
-        if same_as and (some["functional"] or some["inverse_functional"]):
-            one = every_link.join(tables["functional"], "p").groupBy("s", "p").agg(F.min("o").alias("x"), F.collect_set("o").alias("ys"))
-            two = every_link.join(tables["inverse_functional"], "p").groupBy("o", "p").agg(F.min("s").alias("x"), F.collect_set("s").alias("ys"))
-            equal = one.select("x", F.explode("ys").alias("y")).union(two.select("x", F.explode("ys").alias("y"))).where("x <> y")
-            made.append(_edge(equal, "y", t.OWL + "sameAs", "x"))
+            subject = F.when(F.col("s").contains(":"), t.IRI).otherwise(t.BLANK).alias("s_kind")
+            made.append(types.join(tables["has"], F.col("c") == F.col("r")).select("s", subject, "p", *[F.col(v).alias(o) for v, o in zip(_VALUE, _KEY[3:], strict=True)]))
+            alike = reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.col(o)) for v, o in zip(_VALUE, _KEY[3:], strict=True)])
+            made.append(_edge(fresh.join(tables["has"], "p").where(alike), "s", t.TYPE, "r"))
+        if some["both"]:
+            parts = every_type.join(tables["both"], F.col("c") == F.col("member"))
+            whole = tables["both"].groupBy("key").agg(F.countDistinct("member").alias("m"))
+            made.append(_edge(parts.groupBy("key", "owner", "s").agg(F.countDistinct("member").alias("k")).join(whole, "key").where("k = m"), "s", t.TYPE, "owner"))
+        if some["chain"]:
+            along = tables["chain"].select("key", "i", F.col("member").alias("p"), "owner", "n")
+            path = every_link.join(along.where("i = 0"), "p").select("key", "owner", "n", "s", "o")
+            for i in range(1, tables["chain"].agg(F.max("n")).first()[0]):
+                step = path.where(F.col("n") > i).select("key", "owner", "n", F.col("s").alias("from"), F.col("o").alias("s")).join(along.where(F.col("i") == i).select("key", "p"), "key").join(every_link, ["s", "p"])
+                path = path.where(F.col("n") <= i).unionByName(step.select("key", "owner", "n", F.col("from").alias("s"), "o"))
+            made.append(_edge(path, "s", F.col("owner"), "o"))
+        if same_as:
+            made += [_edge(x, "y", t.OWL + "sameAs", "x") for x in _same(known, tables, some)]
         derived = reduce(DataFrame.unionByName, made).distinct()
         if same_as:
             pairs = lambda df: (e := df.where((F.col("p") == t.OWL + "sameAs") & (F.col("o_kind") < 2)).select("s", "o")).union(e.select("o", "s")).toDF("from", "to").where("from <> to").distinct()
@@ -98,12 +198,17 @@ def closure(g: Graph, same_as: bool = True, rounds: int = 50) -> Graph:
                 facts = facts.where(F.col("p") != t.OWL + "sameAs")
                 derived = derived.unionByName(facts.join(equal, F.col("s") == F.col("from")).select(F.col("to").alias("s"), *_KEY[1:]))
                 derived = derived.unionByName(facts.where("o_kind < 2").join(equal, F.col("o") == F.col("from")).select("s", "s_kind", "p", F.col("to").alias("o"), *_KEY[4:]))
+                named = equal.join(facts.select(F.col("p").alias("from")).distinct(), "from")
+                derived = derived.unionByName(facts.join(named, F.col("p") == F.col("from")).select("s", "s_kind", F.col("to").alias("p"), *_KEY[3:]))
             derived = derived.distinct()
         on = reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in _KEY])
-        fresh = materialise(derived.alias("x").join(known.alias("y"), on, "left_anti").select(*[f"x.{c}" for c in _KEY]), "rl-new")
+        old, fresh = fresh, materialise(derived.alias("x").join(known.alias("y"), on, "left_anti").select(*[f"x.{c}" for c in _KEY]), "rl-new")
+        if old is not known:
+            release(old)
         if fresh.isEmpty():
             break
-        known = materialise(known.unionByName(fresh), "rl")
+        before, known = known, materialise(known.unionByName(fresh), "rl")
+        release(before)
     return Graph(known, distinct=True)
 
 

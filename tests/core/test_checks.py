@@ -202,6 +202,27 @@ def test_closure_finds_hidden_contradictions(spark):
     assert reasoning.consistency(g, "hermit").where("check_id = 'REA-022'").count() == 1
 
 
+def test_closure_by_collections_chains_keys_and_cardinalities(spark):
+    text = """:Both owl:intersectionOf (:A :B) . :Any owl:unionOf (:A :B) . :Few owl:oneOf (:e1 :e2) . :a1 a :A, :B . :a2 a :A . :b3 a :B . :s1 a :Both .
+    :uncle owl:propertyChainAxiom (:parent :brother) . :far owl:propertyChainAxiom (:parent :parent :brother) . :x :parent :y . :y :parent :z . :y :brother :w . :z :brother :v .
+    :Person owl:hasKey (:name :born) . :p1 a :Person ; :name 'n' ; :born 1 ; :tag :t1 . :p2 a :Person ; :name 'n' ; :born 1 . :p3 a :Person ; :name 'n' ; :born 2 . :p4 :name 'n' ; :born 1 .
+    :One owl:maxCardinality 1 ; owl:onProperty :home . :o1 a :One ; :home :h1, :h2 . :o2 :home :h3, :h4 . :h2 :tag :t2 .
+    :Only owl:maxQualifiedCardinality 1 ; owl:onProperty :pet ; owl:onClass :Cat . :q1 a :Only ; :pet :c1, :c2, :d1 . :c1 a :Cat . :c2 a :Cat .
+    :Red owl:hasValue 'red' ; owl:onProperty :colour . :r1 a :Red . :r2 :colour 'red' . :Made owl:someValuesFrom owl:Thing ; owl:onProperty :maker . :m1 :maker :u .
+    :SomeA owl:someValuesFrom :Small ; owl:onProperty :k . :SomeB owl:someValuesFrom :Large ; owl:onProperty :k . :SomeC owl:someValuesFrom :Small ; owl:onProperty :k2 . :Small rdfs:subClassOf :Large . :k rdfs:subPropertyOf :k2 ."""
+    closed = reasoning.closure(graph(spark, text))
+    got = {(r.s.replace(N, ":"), r.p.replace(N, ":").rpartition("#")[2], r.o.replace(N, ":")) for r in closed.triples.collect()}
+    for fact in (
+        (":a1", "type", ":Both"), (":a2", "type", ":Any"), (":b3", "type", ":Any"), (":s1", "type", ":A"), (":s1", "type", ":Any"), (":Both", "subClassOf", ":A"), (":A", "subClassOf", ":Any"), (":e2", "type", ":Few"), (":x", ":uncle", ":w"), (":x", ":far", ":v"),
+        (":p2", "sameAs", ":p1"), (":p2", ":tag", ":t1"), (":h2", "sameAs", ":h1"), (":h1", ":tag", ":t2"), (":c2", "sameAs", ":c1"), (":r1", ":colour", "red"), (":r2", "type", ":Red"), (":m1", "type", ":Made"), (":SomeA", "subClassOf", ":SomeB"), (":SomeA", "subClassOf", ":SomeC"),
+    ):
+        assert fact in got, fact
+    assert not got & {(":a2", "type", ":Both"), (":x", ":uncle", ":v"), (":x", ":far", ":w"), (":b3", "type", ":Few")}
+    assert {(s, o) for s, p, o in got if p == "sameAs"} == {(":p2", ":p1"), (":h2", ":h1"), (":c2", ":c1")}
+    with pytest.raises(RuntimeError):
+        reasoning.closure(graph(spark, ":C rdfs:subClassOf :D . :a a :C ."), rounds=1)
+
+
 @pytest.mark.parametrize("check_id", ["STR-001", "STR-002", "STR-005", "STR-007", "QUA-001", "QUA-002", "QUA-004", "QUA-005", "QUA-007", "LOG-003", "STY-003"])
 def test_repair_settles_its_findings(spark, check_id):
     text = ":a a :Lost ; :q 1 ; rdfs:label 'plain' . :p rdfs:domain :Nowhere ; a owl:ObjectProperty . :E owl:equivalentClass :F ; rdfs:subClassOf :F ."
