@@ -200,6 +200,18 @@ def description(spark, sf_dir):
     return fixpoint.frontier(g.where("s_kind = 0").select("s").distinct(), g.triples).select("root", "s", "p", "o").distinct()
 
 
+@query("components_shop")
+def components_shop(spark, sf_dir):
+    g = demo.shop(spark, sf_dir)
+    return fixpoint.connected_components(g.where((F.col("p") != t.TYPE) & (F.col("o_kind") < 2)).select(F.col("s").alias("a"), F.col("o").alias("b")))
+
+
+@query("description_shop")
+def description_shop(spark, sf_dir):
+    g = demo.shop(spark, sf_dir).stored()
+    return fixpoint.frontier(g.where("s_kind = 0").select("s").distinct(), g.triples).select("root", "s", "p", "o").distinct()
+
+
 @query(
     "list_members",
     f"WITH RECURSIVE {_T}, r(head, cell, i) AS (SELECT s, s, 0 FROM oq WHERE p = '{t.RDF}first' AND s NOT IN (SELECT o FROM oq WHERE p = '{t.RDF}rest') UNION SELECT head, o, i + 1 FROM r JOIN oq ON cell = s WHERE p = '{t.RDF}rest' AND o_kind = 1) SELECT head, CAST(i AS BIGINT) AS position, o AS member FROM r JOIN oq ON cell = s WHERE p = '{t.RDF}first'",
@@ -246,6 +258,11 @@ def graph_components(spark, sf_dir):
     return metrics.graph_components(demo.ontology(spark))
 
 
+@query("graph_components_shop")
+def graph_components_shop(spark, sf_dir):
+    return metrics.graph_components(demo.shop(spark, sf_dir))
+
+
 @query("predicate_table", f"WITH {_Q} SELECT p AS predicate, count(*) AS uses, count(DISTINCT s) AS subjects, count(DISTINCT (o, o_kind, o_dt, o_lang)) AS objects, CASE WHEN max(o_kind) = 2 AND min(o_kind) < 2 THEN 'mixed' WHEN max(o_kind) = 2 THEN 'literal' ELSE 'resource' END AS range_kind FROM q WHERE p <> '{t.TYPE}' GROUP BY p")
 def predicate_table(spark, sf_dir):
     return metrics.predicate_table(demo.shop(spark, sf_dir))
