@@ -12,6 +12,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_language_id": langid.op5_language_id,
     "op6_fingerprints": fingerprint.op6_fingerprints,
+    "op6_containment": fingerprint.op6_containment,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_packing": packing.op8_packing,
     "op9_topk": topk.op9_topk,

@@ -357,6 +357,20 @@ def test_sketches_merge_and_estimate_containment(spark):
     assert [(r.item_id, r.doc_id) for r in pairs] == [(2, 1), (2, 2)]
 
 
+def test_short_passages_have_sketches(spark, tmp_path):
+    rng, words = random.Random(12), vocabulary(12, 2000)
+    passages = [(i, " ".join(rng.choice(words) for _ in range(24 + i % 30))) for i in range(100)]
+    filler = lambda: " ".join(rng.choice(words) for _ in range(400))
+    docs = [(i, f"{filler()} {text} {filler()}", "en", "s", 0) for i, text in passages]
+    spark.createDataFrame([*passages, (100, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    assert fingerprint.op6_fingerprints(spark, str(tmp_path)).agg(F.min("n_kept")).first()[0] > 0
+    got = fingerprint.op6_containment(spark, str(tmp_path)).collect()
+    assert {r.item_id for r in got} == set(range(101)) and all(r.doc_id is None for r in got if r.n_kept == 0)
+    assert sum(r.n_kept == 0 for r in got) <= 3
+    assert all(r.doc_id == r.item_id and r.containment == 1.0 for r in got if r.n_kept > 0)
+
+
 # ---- n-gram Jaccard join -----------------------------------------------------------------------
 
 
