@@ -162,6 +162,44 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_000) ->
         yield pa.Table.from_batches(held)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_000) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole groups out of batches that are sorted by ``key``, with True; a group of more than ``rows``
+    rows comes as pieces of about that many, one after the other, with False: it is never held as a whole."""
+    held: list[pa.RecordBatch] = []
+    count, large = 0, None
+
+    def given(end: bool) -> Iterator[tuple[pa.Table, bool]]:
+        nonlocal held, count, large
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        begin = 0
+        if large is not None:
+            begin = int(np.searchsorted(keys != large, True)) if keys[0] == large else 0
+            if begin:
+                yield table.slice(0, begin), False
+            if begin < len(keys):
+                large = None
+        last = begin + int(np.searchsorted(keys[begin:] == keys[-1], True)) if begin < len(keys) else begin
+        if end:
+            last = len(keys)
+        if last > begin:
+            yield table.slice(begin, last - begin), True
+        if len(keys) - last >= rows:
+            large = keys[-1]
+            yield table.slice(last), False
+            last = len(keys)
+        held, count = table.slice(last).to_batches(), len(keys) - last
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= rows:
+                yield from given(False)
+    if count:
+        yield from given(True)
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 

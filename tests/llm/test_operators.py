@@ -388,32 +388,87 @@ def brute_pairs(docs, n, threshold):
     return sorted(out)
 
 
-@pytest.mark.parametrize("local", [4, 4096])
-def test_jaccard_pairs(spark, local):
+@pytest.mark.parametrize("local,group,hot", [(4, 512, 1 << 16), (4096, 512, 1 << 16), (4096, 16, 1 << 16), (8, 12, 1)])
+def test_jaccard_pairs(spark, local, group, hot):
     docs = corpus(11, 140) + [(600 + i, " ".join(vocabulary(6, 80)[: 60 + i % 12]), "en", "s", 0) for i in range(30)] + [(700, "Ab", "en", "s", 0), (701, "aB", "en", "s", 0), (702, "", "en", "s", 0), (703, None, "en", "s", 0), (704, " ", "en", "s", 0)]
     want = brute_pairs(docs, 3, 0.5)
-    got = sorted((r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngram_join.jaccard_pairs(frame(spark, docs), local=local).collect())
+    got = sorted((r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngram_join.jaccard_pairs(frame(spark, docs), local=local, group=group, hot=hot).collect())
     assert set(got) <= set(want) and len(got) == len(set(got))
     assert len(got) >= 0.95 * len(want) and len(want) > 100
 
 
-def test_one_of_each_group_stays(spark):
-    docs = corpus(12, 60)
+def brute_classes(docs, n=3, threshold=0.5):
     links = defaultdict(set)
-    for a, b, _ in brute_pairs(docs, 3, 0.5):
+    for a, b, _ in brute_pairs(docs, n, threshold):
         links[a].add(b)
         links[b].add(a)
-    low = {}
-    for i, *_ in docs:
+    out = {}
+    for i in {i for i, *_ in docs if i is not None}:
         seen, stack = {i}, [i]
         while stack:
-            for o in links[stack.pop()]:
-                if o not in seen:
-                    seen.add(o)
-                    stack.append(o)
-        low[i] = min(seen)
+            for o in links[stack.pop()] - seen:
+                seen.add(o)
+                stack.append(o)
+        out[i] = (min(seen), len(links[i]))
+    return out
+
+
+@pytest.mark.parametrize("group,hot", [(512, 1 << 16), (16, 1)])
+def test_classes_and_links(spark, group, hot):
+    docs = corpus(12, 60) + [(600 + i, " ".join(vocabulary(6, 80)[: 60 + i % 12]), "en", "s", 0) for i in range(40)] + [(800, None, "en", "s", 0), (801, "", "en", "s", 0), (None, "x", "en", "s", 0)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.classes(frame(spark, docs).withColumns({"part": F.lit(0), "own": F.lit(1)}), group=group, hot=hot).collect()}
+    assert got == brute_classes(docs)
+    assert rows(ngram_join.classes(frame(spark, []))) == []
+
+
+def test_one_of_each_group_stays(spark):
+    docs = [*corpus(12, 60), (None, "x", "en", "s", 0)]
     got = ngram_join.keep_one_of_each_group(frame(spark, docs).withColumn("node", F.lit(0)))
-    assert sorted(r.doc_id for r in got.collect()) == sorted(set(low.values()))
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted({-1, *(c for c, _ in brute_classes(docs).values())})
+
+
+def near_copies(n, seed=1, size=120, noise=0.05):
+    """Copies of one text of which each word is replaced with the probability ``noise``."""
+    rng, words = np.random.default_rng(seed), np.array(vocabulary(seed, 20_000))
+    base = rng.integers(0, len(words), size)
+    return [(i, " ".join(words[np.where(rng.random(size) < noise, rng.integers(0, len(words), size), base)]), "en", "s", 0) for i in range(n)]
+
+
+def test_many_near_copies_pass_on_few_rows(spark):
+    docs = near_copies(3000)
+    sets = spark.createDataFrame(pa.Table.from_batches([b for x in pa.Table.from_pylist([{"doc_id": i, "text": t} for i, t, *_ in docs]).to_batches() for b in ngram_join._signatures(3)(iter([x]))]).select(["doc_id", "sign"]).rename_columns(["rid", "sign"]).to_pandas())
+    pairs, members = ngram_join.candidates(sets, 0.5, 0.99)
+    assert members.select("rid").distinct().count() > 2900 and pairs.count() + members.count() < 100 * len(docs)
+    got = ngram_join.classes(frame(spark, docs)).agg(F.countDistinct("class_id"), F.sum("n_links"), F.count("*")).first()
+    w = [words_of(t) for _, t, *_ in docs[:150]]
+    runs = [{tuple(x[p : p + 3]) for p in range(len(x) - 2)} for x in w]
+    share = sum(len(a & b) / len(a | b) >= 0.5 for a in runs for b in runs if a is not b) / (150 * 149)
+    assert got[0] == 1 and got[2] == 3000 and abs(got[1] / (3000 * 2999) - share) < 0.03
+
+
+def test_groups_come_in_pieces():
+    rng = random.Random(2)
+    for most in (5, 40):
+        keys = sorted(rng.choice([1, 1, 1, 2, 3, *range(4, 30)]) for _ in range(300))
+        batches, at = [], 0
+        while at < len(keys):
+            n = rng.randint(1, 20)
+            batches.append(pa.RecordBatch.from_pydict({"k": keys[at : at + n]}))
+            at += n
+        seen, whole = [], []
+        for table, all_of_it in kernel.pieces(iter(batches), "k", most):
+            own = table.column("k").to_pylist()
+            seen += own
+            assert all_of_it or len(set(own)) == 1
+            whole += sorted(set(own)) if all_of_it else []
+        assert seen == keys and len(whole) == len(set(whole))
+        assert all(keys.count(x) == seen.count(x) for x in whole)
+
+
+def test_recall_counts_all_levels():
+    assert ngram_join.runs_for(0.5, 0.99) >= 8 and ngram_join.runs_for(0.5, 0.99, 12) > ngram_join.runs_for(0.5, 0.99, 4)
+    least, lost = ngram_join.least_agreement(0.5, 0.0025)
+    assert 0 < least < 16 and lost <= 0.0025
 
 
 # ---- packing and mixing ------------------------------------------------------------------------
