@@ -10,35 +10,27 @@ back to text; ``unescape`` restores them exactly.
 Results: one row for each conversation: ``conv_id, n_turns, tokens, loss_mask``. Turns are ordered by
 turn, then role and text; rows that repeat exactly count once; a null turn goes first, a null role is
 'user', a null text is empty. Rows without conv_id are left out. An empty table gives an empty result;
-further columns are ignored. Texts are encoded whole; a stretch of one class of characters (letters,
-signs or spaces) of over ``LONGEST`` characters is cut there first, since the merges of one piece take
-more than linear time.
+further columns are ignored. Texts are encoded whole, whatever their length.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.llm import kernel as k
+from oriel.llm.tokens import VOCABULARY, encode, share
 from oriel.ship import map_arrow
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BEGIN, START, HEADER, END = 50256, 50257, 50258, 50259
 ASSISTANT = "assistant"
-LONGEST = 10_000
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
-_STRETCH = re.compile(r"(?:[^\W\d_]{%d}|\d{%d}|[^\w\s]{%d}|\s{%d}|_{%d})" % ((LONGEST,) * 5))
 
 
 def escape(text: str) -> str:
@@ -49,25 +41,6 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text) if "|" in text else text
 
 
-@lru_cache(maxsize=2)
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def encode(text: str, path: str = VOCABULARY) -> list[int]:
-    """Ordinary tokens of a text."""
-    enc = encoding(path)
-    if len(text) < LONGEST:
-        return enc.encode_ordinary(text)
-    out, at = [], 0
-    for m in _STRETCH.finditer(text):
-        out += enc.encode_ordinary(text[at : m.end()])
-        at = m.end()
-    return out + enc.encode_ordinary(text[at:])
-
-
 def assemble(turns: list[tuple[str, list[int]]], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and loss mask of one conversation of (role, content tokens)."""
     parts: list[list[int]] = [[BEGIN]]
@@ -102,6 +75,7 @@ def format_chats(conversations: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 bound = np.cumsum([0, *map(len, tokens)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), k.lists(np.concatenate(tokens), bound, pa.int32()), k.lists(np.concatenate(masks), bound, pa.int32())], ["conv_id", "n_turns", "tokens", "loss_mask"])
 
+    share(conversations.sparkSession, path)
     slim = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t")).where("conv_id is not null")
     whole = slim.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
     return map_arrow(whole, run, "conv_id long, n_turns long, tokens array<int>, loss_mask array<int>")

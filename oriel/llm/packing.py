@@ -1,130 +1,103 @@
-"""Mixture-controlled packing: deficit round-robin over source queues at the granularity of tokens.
-
-Every window of ``capacity`` tokens serves the sources in turn, in the order of their names. A source
-is entitled to its weight's share of each window; what rounding withholds from it in one window (its
-deficit, always under one token) is carried to the next. The carried deficits have a closed form, the
-difference of two floors, so where a token goes follows from its position in its source's queue alone
-and any partition can start anywhere. When a source cannot fill its turn any more it gives what it has
-left, the others share the rest of that window, and a new phase begins without it; the phases depend
-on the sources' totals alone and are planned on the driver. Documents are cut at window borders;
-no token is dropped and only the last window may be short. The weights of the sources that have tokens
-must not add up to more than ``capacity``; beyond that (some 2,000 sources of weight 1 at 2048) packing
-raises a ValueError.
+"""Mixture-controlled packing: deficit round-robin over source queues.
+
+Each source's documents stand in a queue, shuffled by a hash of their doc_id. Each round gives
+``capacity`` tokens of credit to the queues that are not empty, in proportion to their weights; what an
+emptying queue cannot use goes to the others in that round. A queue is served whole tokens, and the
+fraction that is left of its credit, its deficit, is carried to the next round. The rounds' tokens, in
+the order of the sources' names, are one stream, which is cut into windows of ``capacity`` tokens; so
+every window but the last is full, and off the target proportions by the deficits alone (under one token
+for each source before it in the round).
+
+Nothing of that is done in sequence: a queue's credit after any round follows from the virtual time of
+that round (``prefix.Shares``), so each document finds by itself the rounds that its tokens are in, from
+its place in its queue, and places in the stream are running totals. Deficits carry across windows and
+partitions by construction. Any number of sources will do; one whose share is under a token a window
+is served a token every so many rounds. The shares (24 bytes for each distinct ratio of total and weight)
+go to all tasks.
 
 Results: one row for each piece: ``window, position`` (in the window), ``source, doc_id, doc_start``
-(word of the document) and ``n_tokens``. See ``prefix.queue`` for nulls and rows that repeat;
-documents without words have no piece. An empty table gives an empty result; further columns are ignored.
+(token of the document) and ``n_tokens``. Documents are cut at borders of rounds and windows; no token is
+dropped. Tokens are those of a public vocabulary. See ``prefix.queue`` for nulls and rows that repeat (the
+tokens of rows that share a doc_id count as one document's, in no defined order of the rows); documents
+without tokens have no piece. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.llm import prefix
-from oriel.llm.mixing import DEFAULT_WEIGHT, SEED, WEIGHTS
+from oriel.llm.mixing import SEED
+from oriel.llm.prefix import DEFAULT_WEIGHT, WEIGHTS
+from oriel.llm.tokens import VOCABULARY
+from oriel.ship import map_arrow
 
 CAPACITY = 2048
-
-
-def plan(totals: dict[str, int], weights: dict[str, int], capacity: int) -> list[tuple]:
-    """Phases of each source: (source, queue start, queue end, first window, windows, low, high, whole, size).
-
-    In window i of a phase, counted from 0, the sources up to and including this one have had
-    ``(i + 1) * size * high // whole`` tokens since the phase began, those before it the same with ``low``.
-    """
-    left = {s: n for s, n in sorted(totals.items()) if n > 0}
-    if capacity < sum(weights[s] for s in left):
-        raise ValueError("a window must hold a token for each unit of weight")
-    served = dict.fromkeys(left, 0)
-    phases, window = [], 0
-
-    def add(names: list[str], count: int, size: int, before: int = 0) -> int:
-        whole, low = sum(weights[s] for s in names), 0
-        for s in names:
-            high = low + weights[s]
-            n = count * size * high // whole - count * size * low // whole
-            if n:
-                phases.append((s, served[s], served[s] + n, window, count, low, high, whole, size, before))
-            served[s] += n
-            left[s] -= n
-            low = high
-        return count
-
-    while left := {s: n for s, n in left.items() if n > 0}:
-        names = list(left)
-        whole = sum(weights[s] for s in names)
-
-        def fits(count: int, size: int, names=names, whole=whole) -> bool:
-            low = 0
-            for s in names:
-                high = low + weights[s]
-                if count * size * high // whole - count * size * low // whole > left[s]:
-                    return False
-                low = high
-            return True
-
-        lo, hi = 0, sum(left.values()) // capacity + 1
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if fits(mid, capacity) else (lo, mid - 1)
-        if lo:
-            window += add(names, lo, capacity)
-            continue
-        short: list[str] = []
-        rest = capacity
-        while True:
-            others = [s for s in names if s not in short]
-            whole, low, more = sum(weights[s] for s in others), 0, []
-            for s in others:
-                high = low + weights[s]
-                if rest * high // whole - rest * low // whole > left[s]:
-                    more.append(s)
-                low = high
-            if not more:
-                break
-            short += more
-            rest -= sum(left[s] for s in more)
-        before = 0
-        for s in sorted(short):
-            n = left[s]
-            add([s], 1, n, before)
-            before += n
-        if others:
-            add(others, 1, rest, before)
-        window += 1
-    return phases
-
-
-SCHEMA = "source string, begins long, ends long, first_window long, windows long, low long, high long, whole long, size long, before long"
-
-
-def pack(docs: DataFrame, weights: dict[str, int] | None = None, default: int = DEFAULT_WEIGHT, capacity: int = CAPACITY, seed: int = SEED) -> DataFrame:
+ROUNDS_PER_BUCKET = 8
+ROWS_AT_ONCE = 20_000
+#: Virtual times are in double precision: what is this close below a whole token counts as whole.
+CLOSE = 1e-6
+
+
+def _repeat(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, each repeated ``n`` times, and the number of the repeat."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def rounds(begin: np.ndarray, end: np.ndarray, weight: np.ndarray, shares: prefix.Shares, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces (row, round, from, to) of the stretches [begin, end) of queues."""
+    last = int(np.ceil(shares.total / capacity)) - 1
+    first = np.clip(np.floor(shares.served_at(begin / weight) / capacity) - 1, 0, last).astype(np.int64)
+    until = np.clip(np.ceil(shares.served_at(end / weight) / capacity) + 1, 0, last).astype(np.int64)
+    wide = until - first + 1 <= end - begin  # else fewer tokens than rounds
+    row, i = _repeat(np.where(wide, until - first + 1, 0))
+    at = first[row] + i
+    low = np.where(at > 0, np.floor(weight[row] * shares.time_at(at * float(capacity)) + CLOSE), 0)
+    high = np.floor(weight[row] * shares.time_at((at + 1) * float(capacity)) + CLOSE)
+    a, b = np.maximum(low, begin[row]).astype(np.int64), np.where(at == last, end[row], np.minimum(high, end[row])).astype(np.int64)
+    own, i = _repeat(np.where(wide, 0, end - begin))
+    t = begin[own] + i
+    one = np.clip(np.ceil((shares.served_at((t + 1) / weight[own]) - CLOSE) / capacity) - 1, 0, last).astype(np.int64)
+    keep = b > a
+    return np.concatenate([row[keep], own]), np.concatenate([at[keep], one]), np.concatenate([a[keep], t]), np.concatenate([b[keep], t + 1])
+
+
+def _pieces(shares: prefix.Shares, capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                n, until, weight = (part.column(i).to_numpy() for i in (2, 3, 4))
+                row, turn, a, b = rounds(until - n, until, weight.astype(np.float64), shares, capacity)
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(turn), pa.array(a - (until - n)[row]), pa.array(b - a)], ["doc_id", "source", "round", "doc_start", "n"])
+
+    return run
+
+
+def pack(docs: DataFrame, weights: dict[str, int] | None = None, default: int = DEFAULT_WEIGHT, capacity: int = CAPACITY, seed: int = SEED, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """Pieces of documents in windows of the target proportions."""
-    weights = WEIGHTS if weights is None else weights
-    if default <= 0 or any(w <= 0 for w in weights.values()):
-        raise ValueError("weights must be above 0")
-    items, rows = prefix.queue(docs, seed)
-    totals = {r.source: r.n for r in items.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    phases = plan(totals, {s: weights.get(s, default) for s in totals}, capacity)
-    queues = prefix.running_total(items, ["source"], prefix.place_bucket(rows), ["place", "doc_id"], "tokens", "until").where("tokens > 0")
-    # a few rows for each source: their number follows the number of sources, not the documents
-    table = F.broadcast(docs.sparkSession.createDataFrame(phases, SCHEMA))
-    joined = queues.join(table, (queues.source == table.source) & (F.col("until") > F.col("begins")) & (F.col("until") - F.col("tokens") < F.col("ends"))).drop(table.source)
-    cut = joined.withColumn("since", F.greatest(F.col("until") - F.col("tokens") - F.col("begins"), F.lit(0))).withColumn("till", F.least(F.col("until"), F.col("ends")) - F.col("begins"))
-    guess = "cast(floor({} * whole / (size * (high - low))) as long)"
-    cut = cut.withColumn("i", F.explode(F.expr(f"sequence(greatest({guess.format('since')} - 1, 0L), least({guess.format('(till - 1)')} + 1, windows - 1))")))
-    own = "((({0}) * size * high) div whole - (({0}) * size * low) div whole)"
-    cut = cut.withColumn("opens", F.expr(own.format("i"))).withColumn("closes", F.expr(own.format("i + 1"))).withColumn("a", F.greatest("since", "opens")).withColumn("b", F.least("till", "closes"))
-    earlier = F.expr("((i + 1) * size * low) div whole - (i * size * low) div whole")
-    return cut.where("b > a").select(
-        (F.col("first_window") + F.col("i")).alias("window"),
-        (F.col("before") + earlier + F.col("a") - F.col("opens")).alias("position"),
-        "source",
-        "doc_id",
-        (F.col("begins") + F.col("a") - (F.col("until") - F.col("tokens"))).alias("doc_start"),
-        (F.col("b") - F.col("a")).alias("n_tokens"),
-    )
+    weight = prefix.weight_of(WEIGHTS if weights is None else weights, default)
+    if capacity < 1:
+        raise ValueError("capacity must be 1 at least")
+    items, rows = prefix.queue(docs, seed, vocabulary)
+    shares = prefix.shares(items, weight)
+    queues = prefix.running_total(items, ["source"], prefix.place_buckets(rows), ["place", "doc_id"], "tokens", "until").where("tokens > 0")
+    pieces = map_arrow(queues.select("doc_id", "source", "tokens", "until", weight.alias("weight")), _pieces(shares, capacity), "doc_id long, source string, round long, doc_start long, n long")
+    # a round has as many pieces as tokens at most
+    buckets = [F.floor(F.col("round") / (ROUNDS_PER_BUCKET * 4096**i)).cast("long") for i in (1, 0)]
+    # a document's tokens of a round stand together, documents in the order of their queue
+    order = ["round", "source", "place", "doc_id", "doc_start"]
+    placed = prefix.running_total(pieces.withColumn("place", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")))), [], buckets, order, "n", "until")
+    cut = placed.withColumn("begin", F.col("until") - F.col("n")).withColumn("window", F.explode(F.expr(f"sequence(begin div {capacity}, (until - 1) div {capacity})")))
+    cut = cut.withColumns({"a": F.greatest(F.col("begin"), F.col("window") * capacity), "b": F.least(F.col("until"), (F.col("window") + 1) * capacity)})
+    return cut.select("window", (F.col("a") - F.col("window") * capacity).alias("position"), "source", "doc_id", (F.col("doc_start") + F.col("a") - F.col("begin")).alias("doc_start"), (F.col("b") - F.col("a")).alias("n_tokens"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

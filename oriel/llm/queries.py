@@ -24,7 +24,6 @@ ORACLES = {
     "op1_substring_dedup": substring.ORACLE,
     "op7_ngram_jaccard": ngram_join.ORACLE,
     "op9_topk": topk.ORACLE,
-    "op10_mixing": mixing.ORACLE,
 }
 
 if corpus_pipeline.ORACLE_SQL is not None:

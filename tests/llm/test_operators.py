@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oriel.llm import chat, fingerprint, kernel, langid, mixing, ngram_join, packing, pii, substring, topk, toxicity
+from oriel.llm import chat, fingerprint, kernel, langid, mixing, ngram_join, packing, pii, substring, tokens, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = {c: "x" for c in ("anchor", "block", "node", "rid", "place", "tokens", "window", "rank", "score", "sketch", "value", "keep", "h1", "component")}
@@ -197,7 +197,7 @@ def test_chat_round_trip(spark):
     said = [(1, 0, "user", "Hi <|im_end|> there\n"), (1, 1, "assistant", "Bien sûr! <\\|x 🙂"), (1, 1, "assistant", "Bien sûr! <\\|x 🙂"), (2, 0, None, None), (None, 0, "user", "x"), (3, None, "assistant", "ok"), (3, 2, "user", "z" * 25_000)]
     got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("tokens", F.lit(1))).collect()}
     assert set(got) == {1, 2, 3} and got[1].n_turns == 2
-    enc = chat.encoding(chat.VOCABULARY)
+    enc = tokens.encoding(tokens.VOCABULARY)
     for conv, r in got.items():
         assert len(r.tokens) == len(r.loss_mask) and r.tokens[0] == chat.BEGIN
         turns, at, mask = [], 1, [0]
@@ -475,86 +475,128 @@ def test_recall_counts_all_levels():
 
 
 def brute_pack(queues, weights, capacity):
-    """Window by window, token by token in turns, with explicit deficits."""
+    """Round by round: credit in shares, whole tokens served, what is left of the credit carried as a deficit."""
     left = {s: list(q) for s, q in sorted(queues.items()) if q}
-    windows, deficit = [], None
-    names = None
-    while left:
-        if names != list(left):
-            names, deficit, k = list(left), {}, 0
-        whole = sum(weights[s] for s in names)
-        quantum, low = {}, 0
-        for s in names:
-            high = low + weights[s]
-            edge = lambda i, h: math.floor(Fraction(i * capacity * h, whole))
-            quantum[s] = (edge(k + 1, high) - edge(k, high)) - (edge(k + 1, low) - edge(k, low))
-            deficit[s] = Fraction((k + 1) * capacity * weights[s], whole) - (edge(k + 1, high) - edge(k + 1, low))
-            assert abs(deficit[s]) < 1
-            low = high
-        window = []
-        if all(len(left[s]) >= quantum[s] for s in names):
-            for s in names:
-                window += left[s][: quantum[s]]
-                left[s] = left[s][quantum[s] :]
-            k += 1
-        else:
-            short, rest = [], capacity
-            while True:
-                others = [s for s in names if s not in short]
-                total, low, take, more = sum(weights[s] for s in others), 0, {}, []
-                for s in others:
-                    high = low + weights[s]
-                    take[s] = rest * high // total - rest * low // total
-                    low = high
-                    if take[s] > len(left[s]):
-                        more.append(s)
-                if not more:
-                    break
-                short += more
-                rest -= sum(len(left[s]) for s in more)
-            for s in [*sorted(short), *others]:
-                n = len(left[s]) if s in short else take[s]
-                window += left[s][:n]
-                left[s] = left[s][n:]
-            names = None
-        windows.append(window)
-        left = {s: q for s, q in left.items() if q}
-    return windows
-
-
-@pytest.mark.parametrize("capacity", [23, 64])
-def test_packing_against_turns(spark, capacity):
-    docs = corpus(21, 40) + [(900, None, None, "src0", 0), (901, "alone " * 37, None, None, 0)]
-    weights = {"src0": 4, "src1": 3, "src2": 2}
-    items, _ = packing.prefix.queue(frame(spark, docs), packing.SEED)
+    owed = {s: Fraction(len(q)) for s, q in left.items()}  # credit that a source can still use
+    deficit = dict.fromkeys(left, Fraction(0))
+    stream = []
+    while any(left.values()):
+        rest, credit = Fraction(capacity), dict.fromkeys(left, Fraction(0))
+        while rest and (alive := [s for s in left if owed[s] > credit[s]]):
+            level = min([(owed[s] - credit[s]) / weights[s] for s in alive] + [rest / sum(weights[s] for s in alive)])
+            for s in alive:
+                credit[s] += level * weights[s]
+            rest -= level * sum(weights[s] for s in alive)
+        for s in left:
+            deficit[s] += credit[s]
+            owed[s] -= credit[s]
+            n = math.floor(deficit[s])
+            deficit[s] -= n
+            assert 0 <= deficit[s] < 1
+            stream += left[s][:n]
+            left[s] = left[s][n:]
+    return [stream[i : i + capacity] for i in range(0, len(stream), capacity)]
+
+
+def packed(spark, docs, weights, capacity):
+    items, _ = packing.prefix.queue(frame(spark, docs), packing.SEED, None)
     queues = defaultdict(list)
     for r in sorted(items.collect(), key=lambda r: (r.place, r.doc_id)):
         queues[r.source] += [(r.doc_id, j) for j in range(r.tokens)]
     want = brute_pack(queues, defaultdict(lambda: 1, weights), capacity)
     got = [[None] * len(w) for w in want]
-    for r in packing.pack(frame(spark, docs), weights, capacity=capacity).collect():
+    for r in packing.pack(frame(spark, docs), weights, capacity=capacity, vocabulary=None).collect():
         for j in range(r.n_tokens):
             assert got[r.window][r.position + j] is None
             got[r.window][r.position + j] = (r.doc_id, r.doc_start + j)
+    return got, want
+
+
+@pytest.mark.parametrize("capacity", [5, 23, 64])
+def test_packing_against_rounds(spark, capacity):
+    docs = corpus(21, 40) + [(900, None, None, "src0", 0), (901, "alone " * 37, None, None, 0)]
+    got, want = packed(spark, docs, {"src0": 4, "src1": 3, "src2": 2}, capacity)
     assert got == want and all(len(w) == capacity for w in want[:-1])
 
 
+def test_packing_many_sources(spark):
+    docs = [(i, f"w{i} " * (i % 5 + 1), "en", f"site{i % 150}", 0) for i in range(300)]
+    got, want = packed(spark, docs, {"site7": 3}, 16)
+    assert got == want
+    docs = [(i, "a b c", "en", f"site{i}", 0) for i in range(3000)]
+    assert packing.pack(frame(spark, docs), vocabulary=None).agg(F.sum("n_tokens"), F.max("window")).first()[:] == (9000, 9000 // packing.CAPACITY)
+
+
+def test_packing_keeps_proportions(spark):
+    docs = [(i, "x " * (40 + i % 30), "en", f"src{i % 4}", 0) for i in range(1200)]
+    got = packing.pack(frame(spark, docs), vocabulary=None).groupBy("window").pivot("source").sum("n_tokens").orderBy("window").collect()
+    total = {"src0": 0, "src1": 0, "src2": 0, "src3": 0}
+    for r in got[:12]:
+        for s, w in zip(total, (4, 3, 2, 1), strict=True):
+            assert abs(r[s] - packing.CAPACITY * w / 10) <= 4
+
+
+def test_tokens_of_the_vocabulary(spark):
+    docs = [*corpus(24, 20), (500, " " * 9000 + "x" + "\n" * 6000, "en", "src0", 0), (501, None, "en", "src0", 0)]
+    items, _ = packing.prefix.queue(frame(spark, docs), packing.SEED, tokens.VOCABULARY)
+    enc = tokens.encoding(tokens.VOCABULARY)
+    got = {r.doc_id: r.tokens for r in items.collect()}
+    assert got == {i: len(tokens.encode(t or "")) for i, t, *_ in docs}
+    assert all(got[i] == len(enc.encode_ordinary(t)) for i, t, *_ in docs[:-2])
+    assert packing.pack(frame(spark, docs)).agg(F.sum("n_tokens")).first()[0] == sum(got.values())
+
+
+def test_long_stretches_have_the_tokens_of_the_whole():
+    rng, enc = random.Random(5), tokens.encoding(tokens.VOCABULARY)
+    for text in ("".join(rng.choice("abcdefghij") for _ in range(100_000)), "!?" * 30_000, "1" * 50_000, "a b" * 30_000, "x" + " " * 7000 + "y", "x" + "\n" * 5000, " " * 6000 + "\u2003z", "ab" * 100 + "\t " * 2500 + "c"):
+        assert tokens.encode(text) == enc.encode_ordinary(text)
+    far = "x" + " " * 300_000 + "y"
+    assert enc.decode(tokens.encode(far)) == far
+
+
 def test_mixing_against_a_loop(spark):
     docs = corpus(22, 50) + [(900, None, None, "src0", 0), (901, "a b", None, None, 0), (901, "c", None, "zz", 0)]
     weights = {"src0": 5, "src1": 1}
-    items, _ = mixing.prefix.queue(frame(spark, docs), mixing.SEED)
-    items = sorted(items.collect(), key=lambda r: (r.place, r.doc_id))
-    had, timed = Counter(), []
-    for r in items:
-        had[r.source] += r.tokens
-        timed.append((had[r.source] / weights.get(r.source, 1), r.place, r.doc_id, r.source, r.tokens))
-    total, want = 0, []
-    for time, _, i, source, n in sorted(timed):
-        total += n
-        if total <= 700:
-            want.append((i, source, n, time, total))
-    assert rows(mixing.mix(frame(spark, docs), weights, budget=700)) == want
-    assert {r.doc_id: r.tokens for r in items}[901] == 3
+    for vocabulary in (None, tokens.VOCABULARY):
+        items, _ = mixing.prefix.queue(frame(spark, docs), mixing.SEED, vocabulary)
+        items = sorted(items.collect(), key=lambda r: (r.place, r.doc_id))
+        had, timed = Counter(), []
+        for r in items:
+            had[r.source] += r.tokens
+            timed.append((had[r.source] / weights.get(r.source, 1), r.place, r.doc_id, r.source, r.tokens))
+        total, want = 0, []
+        for time, _, i, source, n in sorted(timed):
+            total += n
+            if total <= 700:
+                want.append((i, source, n, time, total))
+        assert rows(mixing.mix(frame(spark, docs), weights, budget=700, vocabulary=vocabulary)) == want
+    assert sum(r.tokens for r in items if r.doc_id == 901) == len(tokens.encode("a b")) + len(tokens.encode("c"))
+
+
+def test_mixing_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    docs = [r for r in corpus(23, 80)]
+    con = duckdb.connect()
+    con.register("documents", frame(spark, docs).toPandas())
+    assert sorted(rows(mixing.mix(frame(spark, docs), vocabulary=None))) == sorted(con.execute(mixing.WORDS_SQL).fetchall())
+
+
+def test_ranges_of_a_mix_are_even(spark):
+    """Whatever the weights: a source of a thousand times the weight is not all in one range."""
+    shares = mixing.prefix.Shares(np.array([0.0, 10.0, 4000.0]), np.array([0.0, 10_010.0, 14_000.0]), np.array([1001.0, 1.0, 0.0]))
+    times = np.sort(np.concatenate([np.arange(1, 10_001) / 1000, np.arange(1, 4001)]))
+    out = shares.served_at(times)
+    assert (np.diff(out) >= 0).all() and np.bincount((out / 14_000 * 14).astype(int), minlength=14)[:14].max() < 1100
+    assert np.allclose(shares.time_at(shares.served_at(times[:-1])), times[:-1])
+
+
+def test_running_totals_over_levels(spark):
+    rng = random.Random(3)
+    data = [(f"k{i % 3}", rng.randrange(1000), i, rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(data, "key string, at int, id long, n long")
+    for levels in ([100, 10, 1], [7], [1000, 50]):
+        got = {r.id: r.total for r in mixing.prefix.running_total(df, ["key"], [F.floor(F.col("at") / x) for x in levels], ["at", "id"], "n", "total").collect()}
+        assert got == {i: sum(m for c, b, j, m in data if c == key and (b, j) <= (at, i)) for key, at, i, _ in data}
 
 
 # ---- top-k -------------------------------------------------------------------------------------
