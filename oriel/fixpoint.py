@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oriel.ship import ship
-from oriel.storage import materialise
+from oriel.storage import materialise, release
 
 ONE_TASK = 200_000
 
@@ -57,7 +57,8 @@ def transitive_closure(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     count = known.count()
     while True:
         step = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        known = materialise(known.union(step).distinct(), "closure")
+        former, known = known, materialise(known.union(step).distinct(), "closure")
+        release(former)
         grown = known.count()
         if grown == count:
             return known
@@ -130,7 +131,8 @@ def depth(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     total = None
     while True:
         more = longest.alias("x").join(longest.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.d") + F.col("y.d")).alias("d"))
-        longest = materialise(longest.union(more).groupBy("a", "b").agg(F.max("d").alias("d")), "depth")
+        former, longest = longest, materialise(longest.union(more).groupBy("a", "b").agg(F.max("d").alias("d")), "depth")
+        release(former)
         state = longest.agg(F.count("*"), F.sum("d")).first()
         if tuple(state) == total:
             break
@@ -155,7 +157,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        pairs = materialise(small, "components")
+        former, pairs = pairs, materialise(small, "components")
+        if last is not None:
+            release(former)
         state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if last == (state["n"], state["h"]):
             break

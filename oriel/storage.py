@@ -11,10 +11,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +40,46 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    own = _scratch.get()
+    if own is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the files of a materialised ``df`` that nothing reads any more."""
-    spark = df.sparkSession
+def _delete(spark: SparkSession, folders: set[str]) -> None:
     jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for name in folders:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of materialised frames that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, _folders(df))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """On leaving it deletes all that was materialised inside in this thread, but for the frames given to the
+    function that it yields. What is kept belongs to the scratch around it, if there is one."""
+    outer, kept = _scratch.get(), set()
+    mark = _scratch.set([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(x.rstrip("/").rpartition("/")[2] for x in _folders(df))
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _scratch.get()
+        _scratch.reset(mark)
+        stay = [x for x in made if x.rpartition("/")[2] in kept]
+        if outer is not None:
+            outer.extend(stay)
+        _delete(spark, set(made) - set(stay))
