@@ -43,6 +43,8 @@ LEAST_COUNT = 24
 SLACK = 1.5
 GRACE = 64.0
 PAD = 0
+#: Bytes scored at a time: the costs take 4 bytes for each of them and each language.
+AT_ONCE = 1 << 18
 
 
 @dataclass
@@ -194,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in k.chunks(batch):
+            for part in k.chunks(batch, size=AT_ONCE):
                 language, rate, margin, keep = judge(part.column(1), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), language, rate, margin, pa.array(keep)], ["doc_id", "language", "bits_per_byte", "margin", "keep"])
 
@@ -209,7 +211,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in k.chunks(batch):
+            for part in k.chunks(batch, "text", AT_ONCE):
                 yield part.filter(pa.array(judge(part.column(place), shared.value)[3]))
 
     return map_arrow(docs, run, docs.schema)

@@ -12,7 +12,8 @@ source, so redaction cuts exactly what was written. Texts without any trigger ar
 
 Results of ``detect``: one row for each identifier: ``doc_id, kind, begin, end, value``; begin and end
 count characters (code points) of the source, end exclusive; value is the normal form. Kinds: email,
-secret, ip, card, ssn, iban, phone, in order of precedence where spans overlap. Null, empty and clean
+secret, ip, card, ssn, iban, phone, in order of precedence where spans overlap; the check digits of cards and
+IBANs must be right. Null, empty and clean
 texts and rows without doc_id give nothing; rows that repeat are reported again; an empty table gives
 an empty result; further columns are ignored. ``redact`` keeps all rows and columns, and puts the kind
 in brackets for each span; a null text stays null.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,17 +70,16 @@ _AT = r"(?:\s*[\(\[\{<]\s*(?:at|arroba|@)\s*[\)\]\}>]\s*)"
 HOST = rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*"
 DISGUISED = re.compile(rf"(?:({_AT})|(\s+at\s+)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT})|@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}))(?P<host>{HOST})", re.I)
 DOT = re.compile(_DOT, re.I)
-LOCAL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*\Z", re.I)
+LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+DOTTED = LOCAL | {"."}
+ALNUM = re.compile("[A-Za-z0-9]")
 HINTS = {"dot", "punkt", "point", "punto", "arroba"}
 BRACKETED = re.compile(r"[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]", re.I)
 APART = str.maketrans(dict.fromkeys(",.-()[]{}<>;:!?\"'", " "))
 #: Last labels that make "x at y dot z", without any brackets, an address.
 LAST_LABELS = set("com org net edu gov mil int info biz io ai co me app dev us uk eu de fr es it nl be ch at pl pt se no fi dk ie ca au nz in jp cn br mx ar cl ru".split())
-#: The longest local part of an address that the mail standard allows, with room for disguises.
-LONGEST_LOCAL = 256
 
 HOST_RIGHT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-LOCAL_LEFT = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?\Z")
 SECRET = re.compile(r"\b(?:token|api[_-]?key|secret|password|passwd)\b\s*[=:]\s*[\"']?([A-Za-z0-9_/+-]{16,})[\"']?", re.I)
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")
 CARD = re.compile(r"(?<![\w.])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|\d{13,19}|3[47]\d{2}[ -]\d{6}[ -]\d{5})(?!\w)")
@@ -126,14 +126,37 @@ def characters(text: str) -> tuple[str, list[int] | None]:
     return text.translate(LIKE), None
 
 
+def _run_left(text: str, end: int, allowed: set[str]) -> int:
+    """Where the run of allowed characters that ends at ``end`` begins."""
+    while end and text[end - 1] in allowed:
+        end -= 1
+    return end
+
+
+def _local_left(text: str, end: int, dots: dict[int, int]) -> int | None:
+    """Where the local part that ends at ``end`` begins; ``dots`` has the begin of each spelled dot by its end."""
+    begin, at = None, end
+    while (left := _run_left(text, at, LOCAL)) < at:
+        begin = left
+        if left and text[left - 1] == ".":
+            at = left - 1
+        elif left in dots:
+            at = dots[left]
+        else:
+            break
+    return begin
+
+
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+    edits: list[tuple[int, int, str]] = []
+    dots: dict[int, int] | None = None
     for m in DISGUISED.finditer(text):
-        left = LOCAL.search(text[max(0, m.start() - LONGEST_LOCAL) : m.start()])
-        if not left or m.group(2) and re.split(r"[^A-Za-z0-9-]+", m.group("host"))[-1].lower() not in LAST_LABELS:
+        if dots is None:
+            dots = {d.end(): d.start() for d in DOT.finditer(text)}
+        left = _local_left(text, m.start(), dots)
+        if left is None or m.group(2) and re.split(r"[^A-Za-z0-9-]+", m.group("host"))[-1].lower() not in LAST_LABELS:
             continue
-        shift = max(0, m.start() - LONGEST_LOCAL)
-        edits += [(d.start() + shift + left.start(), d.end() + shift + left.start(), ".") for d in DOT.finditer(left.group())]
+        edits += [(d.start(), d.end(), ".") for d in DOT.finditer(text, left, m.start())]
         edits.append((m.start(), m.start("host"), "@"))
         edits += [(d.start() + m.start("host"), d.end() + m.start("host"), ".") for d in DOT.finditer(m.group("host"))]
     return edits
@@ -166,20 +189,35 @@ def words(text: str) -> tuple[Mapped | None, list[tuple[int, int]]]:
     return mapped, spelled
 
 
+def luhn(value: str) -> bool:
+    """Whether the check digit of a card number is right."""
+    d = [int(c) for c in value if c.isdigit()][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])) % 10 == 0
+
+
+def iban_end(value: str) -> int:
+    """The length of the longest beginning of at least 15 characters whose check digits are right, or 0."""
+    for end in range(len(value), 14, -1):
+        plain = "".join(value[:end].split())
+        if len(plain) >= 15 and value[end - 1] != " " and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            return end
+    return 0
+
+
 def identifiers(text: str, spelled: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """(begin, end, kind) in a normal text, without overlaps, in order."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # in order, without overlaps
 
     def add(begin: int, end: int, kind: str) -> None:
-        if all(end <= a or begin >= b for a, b, _ in found):
-            found.append((begin, end, kind))
+        i = bisect_left(found, (end,))
+        if not i or found[i - 1][1] <= begin:
+            found.insert(i, (begin, end, kind))
 
     at = text.find("@")
     while at >= 0:
-        left = LOCAL_LEFT.search(text[max(0, at - LONGEST_LOCAL) : at])
-        right = HOST_RIGHT.match(text, at + 1)
-        if left and right:
-            add(at - len(left.group()), right.end(), "email")
+        left = ALNUM.search(text, _run_left(text, at, DOTTED), at)
+        if left and text[at - 1] != "." and (right := HOST_RIGHT.match(text, at + 1)):
+            add(left.start(), right.end(), "email")
         at = text.find("@", at + 1)
     if "=" in text or ":" in text:
         for m in SECRET.finditer(text):
@@ -187,11 +225,13 @@ def identifiers(text: str, spelled: list[tuple[int, int]]) -> list[tuple[int, in
     if DIGIT.search(text):
         for kind, pattern in (("ip", IP), ("card", CARD), ("ssn", SSN), ("iban", IBAN), ("phone", PHONE)):
             for m in pattern.finditer(text):
-                add(m.start(), m.end(), kind)
+                end = m.end() if kind != "iban" else m.start() + iban_end(m.group())
+                if end > m.start() and (kind != "card" or luhn(m.group())):
+                    add(m.start(), end, kind)
         for a, b in spelled:
             for m in LONG_DIGITS.finditer(text, max(0, a - 1), b):
                 add(m.start(), m.end(), "phone")
-    return sorted(found)
+    return found
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:

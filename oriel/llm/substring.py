@@ -4,14 +4,15 @@ Count-min prefilter, then exact grouping:
 
 1. Each window of ``width`` words is represented by its anchor, the sub-window of half its width with
    the least hash. Equal windows have equal anchors at equal offsets, so the number of places of an
-   anchor is at least the number of places of every window it stands for. There are about
-   4 / width anchors to a word.
+   anchor is at least the number of places of every window it stands for: it is an estimate of their
+   counts that is never too low. There are about 4 / width anchors to a word.
 2. Every input partition counts its anchors in a count-min sketch. The sketch is cut in blocks by
    anchor hash, its size follows the number of anchors, and the partitions' blocks are added up where
    the anchors of that block are looked up: nothing is broadcast or sent to the driver. An estimate is
    never below the true count, so no repeated window is lost.
 3. For the anchors estimated to repeat, the windows they stand for are grouped exactly, by anchor and
-   window hash (128 bits together).
+   window hash (128 bits together). Hot anchors, told by a sample, are counted by aggregation instead, and
+   blocks with many places are looked up in several tasks.
 
 Results: one row for each maximal stretch of words that repeated windows cover: ``doc_id``,
 ``start_word``, ``end_word`` (exclusive) and ``copies``, the most places that one of its windows has.
@@ -23,6 +24,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ WIDTH = 50
 DEPTH = 3
 ROW_CELLS = 1 << 14
 ANCHORS_PER_BLOCK = 8192
-INDEX_BITS = 24
+#: Anchors with about this many places are counted by aggregation, not in one place; one place in SAMPLE tells them.
+HOT = 1 << 16
+SAMPLE = 64
 _ROW_SALT = np.arange(1, DEPTH + 1, dtype=np.uint64) * k.K2
 
 
@@ -50,21 +54,12 @@ def anchor_of_windows(words: k.Words, width: int) -> tuple[np.ndarray, np.ndarra
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), sub
-    if len(sub) >= 1 << INDEX_BITS:
-        order = np.argsort(sub, kind="stable")
-        rank = np.empty(len(sub), np.uint64)
-        same = np.concatenate([[False], sub[order][1:] == sub[order][:-1]])
-        rank[order] = np.cumsum(~same)
-        key = (rank << k.U(32)) | np.arange(len(sub), dtype=np.uint64)
-        bits = 32
-    else:
-        key = ((sub >> k.U(INDEX_BITS)) << k.U(INDEX_BITS)) | np.arange(len(sub), dtype=np.uint64)
-        bits = INDEX_BITS
-    low, size = key, 1
-    while size * 2 <= span:
-        low, size = np.minimum(low[:-size], low[size:]), size * 2
-    low = np.minimum(low[: len(low) - (span - size)], low[span - size :])[:n]
-    place = (low & k.U((1 << bits) - 1)).astype(np.int64)
+    low, place, size = sub, np.arange(len(sub), dtype=np.int64), 1
+    while size < span:  # the first of the least, by whole hashes
+        step = min(size, span - size)
+        later = low[step:] < low[:-step]
+        low, place, size = np.where(later, low[step:], low[:-step]), np.where(later, place[step:], place[:-step]), size + step
+    place = place[:n]
     own = np.flatnonzero(words.doc[:n] == words.doc[width - 1 :])
     return own, place[own], sub
 
@@ -207,7 +202,14 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def _hot_repeats(windows: DataFrame, width: int) -> DataFrame:
+    """As ``_repeats``, for anchors of any number of places: counts are combined before they are shuffled."""
+    each = windows.select("anchor", "doc_id", "first", F.posexplode("windows").alias("i", "window")).select("anchor", "window", "doc_id", (F.col("first") + F.col("i")).cast("long").alias("low"))
+    several = each.groupBy("anchor", "window").agg(F.count("*").alias("copies")).where("copies > 1")
+    return each.join(several, ["anchor", "window"]).select("doc_id", "low", F.col("low").alias("high"), "copies")
+
+
+def repeated_passages(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """Stretches of words covered by windows of ``width`` words that occur more than once."""
     if width < 2:
         raise ValueError("width must be 2 at least")
@@ -216,12 +218,25 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     blocks = anchors.count() // ANCHORS_PER_BLOCK + 1
     sketches = map_arrow(anchors.select("anchor"), _sketches(blocks), "block int, cells binary, counts binary")
     block = F.pmod(F.shiftrightunsigned("anchor", 20), F.lit(blocks)).cast("int")
-    suspects = (
-        anchors.withColumn("block", block).groupBy("block").cogroup(sketches.groupBy("block")).applyInArrow(_suspects, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
-    )
+    placed = anchors.withColumn("block", block)
+    # a block that a hot anchor is in is looked up in several places, each with a copy of its sketch
+    salts = materialise(placed.groupBy("block").agg(F.ceil(F.count("*") / (4 * ANCHORS_PER_BLOCK)).cast("int").alias("salts")).where("salts > 1"), "salts")
+    if salts.isEmpty():
+        placed, sketches = placed.withColumn("salt", F.lit(0)), sketches.withColumn("salt", F.lit(0))
+    else:
+        placed = placed.join(salts, "block", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        sketches = sketches.join(salts, "block", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    found = placed.groupBy("block", "salt").cogroup(sketches.groupBy("block", "salt")).applyInArrow(_suspects, "doc_id long, pos int")
+    suspects = found.groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
+    some = anchors.where(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SAMPLE)) == 0).groupBy("anchor").count()
+    many = materialise(some.where(F.col("count") >= max(1, hot // SAMPLE)).select("anchor"), "hot")
     windows = map_arrow(docs.join(suspects, "doc_id").select("doc_id", "text", "marks"), _windows(width), "anchor long, doc_id long, first int, windows array<long>")
-    shuffled = windows.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    runs = map_arrow(shuffled, _repeats, "doc_id long, low long, high long, copies long")
+    cold, apart = windows, []
+    if not many.isEmpty():
+        windows = materialise(windows, "windows")
+        cold, apart = windows.join(many, "anchor", "left_anti"), [_hot_repeats(windows.join(many, "anchor"), width)]
+    shuffled = cold.repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    runs = reduce(DataFrame.unionByName, [map_arrow(shuffled, _repeats, "doc_id long, low long, high long, copies long"), *apart])
     by = Window.partitionBy("doc_id").orderBy("low", "high")
     reach = F.max(F.col("high") + width).over(by.rowsBetween(Window.unboundedPreceding, -1))
     stretches = runs.withColumn("opens", F.when(F.col("low") <= reach, 0).otherwise(1)).withColumn("stretch", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))

@@ -37,8 +37,13 @@ ITEMS_AT_ONCE = 2000
 DOCS_AT_ONCE = 8000
 
 
-def impact(weight: np.ndarray, tf: np.ndarray, length: np.ndarray, n: int, total: int) -> np.ndarray:
-    return weight * tf * 2200 // (tf * 1000 + 300 + 900 * length * n // total)
+def impact(weight: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: int) -> np.ndarray:
+    """``mean`` is the mean length in thousandths. Every product is under 2**63 for texts of up to 10**11 words."""
+    return weight * tf * 2200 // (tf * 1000 + 300 + 900_000 * length // mean)
+
+
+def mean_length(n: int, total: int) -> int:
+    return max(1, 1000 * total // max(1, n))
 
 
 def search_lists(docs: np.ndarray, impacts: np.ndarray, begin: np.ndarray, end: np.ndarray, n_docs: int, best: int, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -107,14 +112,14 @@ def _frequencies(size: int):
 
 def _search(shared, best: int):
     def part_of(table: pa.Table) -> pa.RecordBatch:
-        weight, queries, n, total = shared.value
+        weight, queries, mean = shared.value
         table = table.sort_by("doc_id").combine_chunks()
         ids = table.column("doc_id").to_numpy()
         lists = table.column("terms").combine_chunks()
         size = lists.value_lengths().to_numpy(zero_copy_only=False)
         term = lists.flatten().to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(ids)), size)
-        worth = impact(weight[term], table.column("tf").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64), table.column("length").to_numpy()[doc], n, total)
+        worth = impact(weight[term], table.column("tf").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64), table.column("length").to_numpy()[doc], mean)
         keep = worth > 0
         term, doc, worth = term[keep], doc[keep], worth[keep]
         order = np.lexsort((-worth, term))
@@ -159,7 +164,7 @@ def _of_group(docs: DataFrame, group: list[tuple[int, str]], best: int) -> DataF
     for r in map_arrow(postings.select("terms"), _frequencies(len(terms)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         weight[r.term] = int(np.floor(1000 * np.log(1 + sums["n"] / r.df)))
     queries = [(i, np.unique(np.searchsorted(terms, words.hash[a:b]))) for (i, _), a, b in zip(group, words.bound[:-1], words.bound[1:], strict=True) if b > a]
-    shared = spark.sparkContext.broadcast((weight, queries, int(sums["n"]), max(1, int(sums["total"] or 0))))
+    shared = spark.sparkContext.broadcast((weight, queries, mean_length(int(sums["n"]), int(sums["total"] or 0))))
     return map_arrow(postings, _search(shared, best), "item_id long, doc_id long, score long")
 
 
@@ -201,7 +206,7 @@ t AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d),
 f AS (SELECT doc_id, length, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
 q AS (SELECT DISTINCT item_id, unnest(w) AS term FROM i),
 x AS (SELECT term, count(*) AS df FROM f GROUP BY term),
-p AS (SELECT item_id, doc_id, (CAST(floor(1000 * ln(1 + n.n::DOUBLE / df)) AS BIGINT) * tf * 2200) // (tf * 1000 + 300 + (900 * length * n.n) // n.total) AS impact
+p AS (SELECT item_id, doc_id, (CAST(floor(1000 * ln(1 + n.n::DOUBLE / df)) AS BIGINT) * tf * 2200) // (tf * 1000 + 300 + (900000 * length) // greatest(1, (1000 * n.total) // n.n)) AS impact
       FROM q JOIN f USING (term) JOIN x USING (term), n),
 s AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM p GROUP BY item_id, doc_id HAVING sum(impact) > 0),
 r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s)

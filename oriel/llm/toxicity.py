@@ -222,7 +222,8 @@ def learn(docs: DataFrame, known: DataFrame, per_class: int = PER_CLASS, epochs:
     by = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = {r.doc_id: r.toxic for r in known.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_class).collect()}
     rows = docs.where(F.col("doc_id").isin(sorted(picked))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).collect() if picked else []
-    rows = sorted({r.doc_id: r for r in rows if r.text and r.text.strip()}.values(), key=lambda r: r.doc_id)
+    # of several texts of one doc_id the greatest, in whatever order they come
+    rows = list({r.doc_id: r for r in sorted((r for r in rows if r.text and r.text.strip()), key=lambda r: (r.doc_id, r.text))}.values())
     label = np.array([int(picked[r.doc_id] > 0) for r in rows])
     if not len(rows) or label.min() == label.max():
         return None, []
