@@ -299,10 +299,10 @@ def _in_blocks(df: DataFrame, blocks) -> DataFrame:
 def candidates(sets: DataFrame, threshold: float, recall: float, local: int = LOCAL, group: int = GROUP, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs ``leaf, a, b`` of ``sets`` (rid, sign), repeats included; and members of groups, ``node, rid``."""
     least, _ = least_agreement(threshold, (1 - recall) / 4)
-    level = map_arrow(sets, _roots(runs_for(threshold, recall)), "node long, rid long, sign binary")
+    sampled = F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0
+    level, some = (map_arrow(x, _roots(runs_for(threshold, recall)), "node long, rid long, sign binary") for x in (sets, sets.where(sampled)))
     outs = []
     for depth in range(1, DEPTH + 1):
-        some = level.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0)
         nodes = materialise(some.groupBy("node").count().where(F.col("count") >= max(1, hot // SAMPLE)).select("node"), "hot")
         cold, here = level, []
         if not nodes.isEmpty():
@@ -317,6 +317,7 @@ def candidates(sets: DataFrame, threshold: float, recall: float, local: int = LO
         outs += here
         onwards = [x.where("other is null and sign is not null").select("node", "rid", "sign") for x in here]
         level = reduce(DataFrame.unionAll, onwards)
+        some = level.where(sampled)
         if level.isEmpty():
             break
     else:
@@ -328,20 +329,20 @@ def candidates(sets: DataFrame, threshold: float, recall: float, local: int = LO
     return pairs, every.where("other is null and sign is null").select("node", "rid")
 
 
-def _sets_of(n: int):
-    """``rid, runs``: the distinct hashed runs of each text; a text that does not have the hash ``h1`` is left out."""
+def _sets_of(n: int, names: list[str]):
+    """The distinct hashed runs of each text, before the columns after it; a text that does not have the hash ``h1`` is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in k.chunks(batch):
-                _, value, bound = k.distinct_shingles(k.Words(part.column(2)), n)
+                _, value, bound = k.distinct_shingles(k.Words(part.column(1)), n)
                 full = np.flatnonzero(np.diff(bound))
                 own = np.zeros(part.num_rows, np.int64)
                 if len(full):
                     own[full] = np.add.reduceat(k.mix(value), bound[full]).view(np.int64)
                 fit = np.zeros(part.num_rows, bool)
-                fit[full] = own[full] == part.column(1).to_numpy()[full]
-                yield pa.RecordBatch.from_arrays([part.column(0), k.lists(k.signed(value), bound, pa.int64())], ["rid", "runs"]).filter(pa.array(fit))
+                fit[full] = own[full] == part.column(0).to_numpy()[full]
+                yield pa.RecordBatch.from_arrays([k.lists(k.signed(value), bound, pa.int64()), *part.columns[2:]], ["runs", *names]).filter(pa.array(fit))
 
     return run
 
@@ -494,16 +495,17 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float, local: int
     else:
         wanted = wanted.withColumn("part", F.lit(-1).cast("long"))
     wanted = materialise(wanted.where("tasks is not null or part >= 0"), "wanted")
-    runs = map_arrow(docs.join(wanted, docs.doc_id == wanted.rid).select("rid", "h1", "text"), _sets_of(n), "rid long, runs array<long>")
-    own = wanted.select("rid", "weight", "part", "size", "tasks")
+    # one way of joining at every size: what is wanted grows with the corpus
+    own = ["rid", "weight", "part", "tasks"]
+    texts = docs.join(wanted.hint("merge"), docs.doc_id == wanted.rid).select("h1", "text", *own)
+    each = map_arrow(texts, _sets_of(n, own), "runs array<long>, rid long, weight long, part long, tasks array<int>")
     if not grouped:
-        each = runs.join(own, "rid")
         in_tasks = each.select(F.explode("tasks").alias("task"), "rid", "weight", "part", "runs")
         return in_tasks.groupBy("task").cogroup(pairs.groupBy("task")).applyInArrow(_verify(threshold, as_pairs), schema), sets, one
-    each = materialise(runs.join(own, "rid"), "runs")
+    each = materialise(each, "runs")
     in_tasks = each.where("tasks is not null").select(F.explode("tasks").alias("task"), "rid", "weight", "part", "runs")
     exact = in_tasks.groupBy("task").cogroup(pairs.groupBy("task")).applyInArrow(_verify(threshold, as_pairs), schema)
-    blocks = own.where("part >= 0").groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_RUNS)).cast("int").alias("blocks"))
+    blocks = wanted.where("part >= 0").groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_RUNS)).cast("int").alias("blocks"))
     apart = _in_blocks(each.where("part >= 0").join(blocks, "part"), F.col("blocks")).select("part", "own", "i", "j", "rid", "weight", "runs")
     return exact.unionAll(apart.groupBy("part", "i", "j").applyInArrow(_compare_groups(threshold, as_pairs), schema)), sets, one
 
