@@ -37,7 +37,10 @@ def _parser() -> argparse.ArgumentParser:
         return c
 
     command("ontology", "ontology", many=("imports", "profile"))
-    command("checks", "ontology", many=("imports", "data"))
+    c = command("checks", "ontology", many=("imports", "data"))
+    c.add_argument("--registry", help="a JSON list of a project's own checks")
+    c.add_argument("--sparql", help="the folder of their queries; that of the registry by default")
+    c.add_argument("--only", nargs="+", help="ids of the checks to run")
     command("sketch", "queries")
     command("triplify", "tables", "queries")
     command("data", "ontology", "data", many=("imports",)).add_argument("--reasoner", default="auto")
@@ -82,7 +85,11 @@ def main(argv: list[str] | None = None) -> int:
             metrics.expressivity(g).orderBy("feature").show(100, False)
             parts.append(reasoning.profile_findings(g, tuple(args.profile)) if args.profile else findings.empty(spark))
         else:
-            parts.append(checks.run_all(both))
+            own = checks.own_checks(args.registry, args.sparql) if getattr(args, "registry", None) else []
+            outcomes: list[checks.Outcome] = []
+            parts.append(checks.run_all(both, getattr(args, "only", None), own=own, outcomes=outcomes))
+            Path(args.out, "outcomes.tsv").write_text(checks.outcome_log(outcomes))
+            print(*(f"{o.check_id} failed: {o.error}" for o in outcomes if o.error), sep="\n", end="", file=sys.stderr)
         if data and args.command in ("data", "run"):
             parts.append(conformance.conformance(conformance.declarations(g), data).findings())
             parts.append(reasoning.consistency(both, getattr(args, "reasoner", "auto")))

@@ -85,6 +85,22 @@ ONTOLOGY: list[tuple] = [
     ("b05", B, t.RDF + "first", K + "Zone", IRI, None, None), ("b05", B, t.RDF + "rest", t.RDF + "nil", IRI, None, None),
     (K + "Order", IRI, t.SUBCLASS, "b06", B, None, None), ("b06", B, t.TYPE, t.OWL + "Restriction", IRI, None, None), ("b06", B, t.OWL + "maxCardinality", "2", L, t.XSD + "integer", None), ("b06", B, t.OWL + "onProperty", C + "customer", IRI, None, None),
 ]
+_P, _CELL, _SHELF = f"concat('{K}p/', cast({{}} AS string))", "concat('c', cast({} AS string))", f"concat('{R}shelf/', cast(cast(floor(p_partkey / 8) AS bigint) AS string))"
+_p = _P.format("p_partkey")
+#: A class hierarchy with cycles and labels, and collections, of as many terms as there are parts.
+CATALOGUE = [
+    Column("part", _p, t.TYPE, f"'{t.CLASS}'", IRI),
+    Column("part", _p, t.SUBCLASS, _P.format("cast(floor(p_partkey / 4) AS bigint)"), IRI, where="p_partkey >= 4"),
+    Column("part", _p, t.SUBCLASS, _P.format("p_partkey + 1"), IRI, where="p_partkey % 50 = 0"),
+    Column("part", _p, t.SUBCLASS, _P.format("p_partkey - 1"), IRI, where="p_partkey % 50 = 1 AND p_partkey > 1"),
+    Column("part", _p, t.OWL + "equivalentClass", _P.format("cast(floor(p_partkey / 4) AS bigint)"), IRI, where="p_partkey % 97 = 0"),
+    Column("part", _p, t.LABEL, "p_name", L, language="en", where="p_partkey % 3 = 1"),
+    Column("part", _p, t.LABEL, "p_name", L, where="p_partkey % 3 = 2"),
+    Column("part", _SHELF, C + "holds", _CELL.format("p_partkey"), B, where="p_partkey % 8 = 0"),
+    Column("part", _CELL.format("p_partkey"), t.RDF + "first", _p, IRI, subject_kind=B),
+    Column("part", _CELL.format("p_partkey"), t.RDF + "rest", _CELL.format("p_partkey + 1"), B, where="p_partkey % 8 <> 7", subject_kind=B),
+    Column("part", _CELL.format("p_partkey"), t.RDF + "rest", f"'{t.RDF}nil'", IRI, where="p_partkey % 8 = 7", subject_kind=B),
+]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
@@ -101,5 +117,10 @@ def data(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(quads(tables(spark, sf_dir), COLUMNS))
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> Graph:
+    """The hierarchy and collections of parts, with the ontology."""
+    return Graph(quads(tables(spark, sf_dir), CATALOGUE, ONTOLOGY))
+
+
 def ontology(spark: SparkSession) -> Graph:
     return Graph(spark.createDataFrame([("urn:g/ontology", *x, "inline") for x in ONTOLOGY], t.QUAD))

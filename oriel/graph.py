@@ -27,6 +27,10 @@ class Graph:
     def triples(self) -> DataFrame:
         return self._all if self._distinct else self._all.distinct()
 
+    def loose(self) -> "Graph":
+        """The same graph for rules that ignore how often a triple is stated: none is removed, so nothing is shuffled."""
+        return Graph(self.quads, distinct=True)
+
     def where(self, condition) -> DataFrame:
         return self.triples.where(condition)
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from dataclasses import dataclass
+from functools import partial, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +18,8 @@ from oriel import terms as t
 from oriel.fixpoint import transitive_closure
 from oriel.functions import iri
 from oriel.graph import Graph
-from oriel.registry import CHECKS, RULES, rule
+from oriel.plans import sparql
+from oriel.registry import CHECKS, RULES, Check, rule
 from oriel.storage import materialise
 
 DEEP_HOPS = 6
@@ -32,11 +38,12 @@ def _say(*parts) -> Column:
 
 
 def _without(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame:
-    return df.join(other.select(F.col(right).alias("_key")).distinct(), F.col(left) == F.col("_key"), "left_anti")
+    # an outer join: the planner would copy an anti-join into each branch of the mapping's union
+    return df.join(other.select(F.col(right).alias("_key")).distinct(), F.col(left) == F.col("_key"), "left").where("_key is null").drop("_key")
 
 
 def _with(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame:
-    return df.join(other.select(F.col(right).alias("_key")).distinct(), F.col(left) == F.col("_key"), "left_semi")
+    return df.join(other.select(F.col(right).alias("_key")).distinct(), F.col(left) == F.col("_key")).drop("_key")
 
 
 @rule("STR-001")
@@ -305,24 +312,96 @@ def empty_class_member(g: Graph) -> DataFrame:
 CLOSURE_SAFE = ["LOG-001", "LOG-002", "LOG-004", "LOG-005", "REA-001", "REA-002", "REA-003", "REA-004"]
 
 
+#: Rules whose findings, merged, do not depend on how often a triple is stated.
+SET_INSENSITIVE = {f"STR-{i:03}" for i in range(1, 10)} | {f"QUA-{i:03}" for i in range(1, 9)} | {f"STY-{i:03}" for i in range(1, 6)} | {"LOG-002", "LOG-005", "DAT-001", "DAT-002", "REA-002", "REA-003", "REA-004"}
+
+
+def apply_rule(g: Graph, check_id: str) -> DataFrame:
+    """The rows of a rule; only rules that count triples need them to be distinct."""
+    return RULES[check_id](g.loose() if check_id in SET_INSENSITIVE else g)
+
+
 def run_check(g: Graph, check_id: str, source: str = "spark") -> DataFrame:
     """Merged findings of one check."""
-    return findings.merge(findings.make(RULES[check_id](g), CHECKS[check_id], source))
+    return findings.merge(findings.make(apply_rule(g, check_id), CHECKS[check_id], source))
+
+
+@dataclass
+class Outcome:
+    """What became of one check."""
+
+    check_id: str
+    source: str
+    findings: int = 0
+    seconds: float = 0.0
+    error: str | None = None
+
 
+@dataclass
+class Own:
+    """A check of a project: a query that selects ?focus and, if need be, ?path, ?value and ?message."""
 
-def run_all(g: Graph, ids: list[str] | None = None, source: str = "spark", literals: bool = True) -> DataFrame:
-    """Merged findings of the given checks, of all by default, over one stored copy of the graph.
+    check: Check
+    query: str
+
+
+def own_checks(registry: str | Path, folder: str | Path | None = None) -> list[Own]:
+    """Checks of a JSON list of ``id, category, severity, title, remediation`` and ``query``, the name of a file in
+    ``folder`` (by default that of the registry) or the text itself. Ids must be new and unique."""
+    base, own, seen = Path(folder or Path(registry).parent), [], set(CHECKS)
+    for x in json.loads(Path(registry).read_text()):
+        if missing := [k for k in ("id", "severity", "title", "query") if not x.get(k)]:
+            raise ValueError(f"{registry}: a check lacks {', '.join(missing)}")
+        if x["id"] in seen:
+            raise ValueError(f"{registry}: {x['id']} is there already")
+        if x["severity"] not in findings.RANK:
+            raise ValueError(f"{registry}: {x['id']} has the severity {x['severity']}")
+        seen.add(x["id"])
+        path = base / x["query"]
+        text = x["query"] if "{" in x["query"] else path.read_text()
+        own.append(Own(Check(x["id"], x.get("category", "custom"), x["severity"], x["title"], x.get("remediation", "")), text))
+    return own
+
+
+def outcome_log(outcomes: list[Outcome]) -> str:
+    """A line for each check, those that failed last."""
+    lines = [f"{o.check_id}\t{o.source}\t" + (f"failed: {o.error}" if o.error else f"{o.findings} findings\t{o.seconds:.1f} s") for o in sorted(outcomes, key=lambda o: (bool(o.error), o.check_id))]
+    return "\n".join(lines) + "\n"
+
+
+def run_all(g: Graph, ids: list[str] | None = None, source: str = "spark", literals: bool = True, own: list[Own] = (), outcomes: list[Outcome] | None = None) -> DataFrame:
+    """Merged findings of the given checks, of all by default, and of a project's own, over one stored copy of the graph.
 
     The key of a finding has its check's id, so each check is merged by itself. They are planned and run
     side by side, and written to the shared folder: the whole is a union of small tables, not one plan
-    of some forty joins.
+    of some forty joins. Where ``outcomes`` is given, it gets what became of each check, and one that fails
+    does not stop the others; without it the first failure is raised.
     """
 
-    def one(check_id: str) -> DataFrame:
-        rows = findings.make(RULES[check_id](g), CHECKS[check_id], source)
+    def rows_of(check_id: str) -> DataFrame:
+        rows = findings.make(apply_rule(g, check_id), CHECKS[check_id], source)
         if check_id == "DAT-001" and literals and ids is None:
             rows = rows.unionByName(findings.make(ill_typed_literals(g), CHECKS["DAT-001"], "literal-typing"))
-        return materialise(findings.merge(rows), "findings")
-
+        return rows
+
+    def one(job: tuple[str, str, Callable[[], DataFrame]]) -> tuple[Outcome, DataFrame | None]:
+        check_id, by, rows = job
+        began, outcome = time.time(), Outcome(check_id, by)
+        try:
+            found = materialise(findings.merge(rows()), "findings")
+            if outcomes is not None:
+                outcome.findings = found.count()
+        except Exception as e:
+            if outcomes is None:
+                raise
+            outcome.error, found = " ".join(str(e).split())[:500] or type(e).__name__, None
+        outcome.seconds = time.time() - began
+        return outcome, found
+
+    jobs = [(i, source, partial(rows_of, i)) for i in ids or sorted(RULES)]
+    jobs += [(x.check.id, "sparql", lambda x=x: findings.make(sparql.check_rows(g, x.query), x.check, "sparql")) for x in own]
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        return findings.union(list(pool.map(one, ids or sorted(RULES))), g.quads.sparkSession)
+        done = list(pool.map(one, jobs))
+    if outcomes is not None:
+        outcomes.extend(o for o, _ in done)
+    return findings.union([x for _, x in done if x is not None], g.quads.sparkSession)

@@ -558,15 +558,20 @@ class Compiler:
             return base.select(F.lit(1).alias("_one")).limit(1), set()
         return base.select(*[c.alias(f"v_{n}") for n, c in columns.items()]), set(columns)
 
-    def join(self, a: tuple[DataFrame, set, set], b: tuple[DataFrame, set, set], how: str = "inner") -> tuple[DataFrame, set, set]:
-        """Joins solutions on shared variables; those that may be unbound are compatible with any term."""
+    def join(self, a: tuple[DataFrame, set, set], b: tuple[DataFrame, set, set], how: str = "inner", tests: list = ()) -> tuple[DataFrame, set, set]:
+        """Joins solutions on shared variables; those that may be unbound are compatible with any term.
+
+        ``tests`` are filters that both sides' variables take part in; they are part of the condition.
+        """
         (x, xs, xc), (y, ys, yc) = a, b
         shared = sorted(xs & ys)
-        y = y.select(*[F.col(f"v_{n}").alias(f"r_{n}") for n in sorted(ys)]) if ys else y.select(F.lit(1).alias("_two"))
+        y = y.select(*[F.col(f"v_{n}").alias(f"r_{n}" if n in xs else f"v_{n}") for n in sorted(ys)]) if ys else y.select(F.lit(1).alias("_two"))
         on = F.lit(True)
         for n in shared:
             left, right = F.col(f"v_{n}"), F.col(f"r_{n}")
             on = on & ((left == right) if n in xc and n in yc else (left == right) | left.isNull() | right.isNull())
+        for e in tests:
+            on = on & self.test(e, xs | ys)
         if not shared and how == "inner":
             out = x.crossJoin(y)
         else:
@@ -574,7 +579,7 @@ class Compiler:
         if how in ("left_anti", "left_semi"):
             return out, xs, xc
         names = xs | ys
-        columns = [(F.coalesce(f"v_{n}", f"r_{n}") if n in shared else F.col(f"v_{n}") if n in xs else F.col(f"r_{n}")).alias(f"v_{n}") for n in sorted(names)]
+        columns = [(F.coalesce(f"v_{n}", f"r_{n}") if n in shared else F.col(f"v_{n}")).alias(f"v_{n}") for n in sorted(names)]
         out = out.select(*columns) if columns else out.select(F.lit(1).alias("_one"))
         return out, names, (xc | yc) if how == "inner" else xc
 
@@ -611,10 +616,13 @@ class Compiler:
                 continue
             flush()
             if item[0] in ("optional", "minus"):
-                right = self.pattern(item[1])
                 state = state or self.unit()
+                # a filter directly in an optional part sees the variables around it
+                inside = {n for x in item[1] if x[0] != "filter" for n in self.used(x)}
+                over = [x for x in item[1] if item[0] == "optional" and x[0] == "filter" and x[1][0] != "exists" and (self.used(x[1]) & state[1]) - inside]
+                right = self.pattern([x for x in item[1] if x not in over])
                 if item[0] == "optional":
-                    state = self.join(state, right, "left")
+                    state = self.join(state, right, "left", [x[1] for x in over])
                 elif state[1] & right[1]:
                     state = self.join(state, right, "left_anti")
             elif item[0] == "bind":
@@ -713,14 +721,17 @@ class Compiler:
                 df = df.withColumn(f"v_{n}", self.term(e, names))
         names = names | {n for n, _ in wanted}
         keys = []
-        for e, down in order:
+        for e, _ in order:
             x = self.term(e, names)
-            keys += [c.desc() if down else c.asc() for c in (x["value"].try_cast("double"), x["value"])]
-        out = df.select(*[self.term(("var", n), names).alias(f"v_{n}") for n, _ in wanted])
+            keys += [x["value"].try_cast("double"), x["value"]]
+        shown = [f"v_{n}" for n, _ in wanted]
+        out = df.select(*[self.term(("var", n), names).alias(f"v_{n}") for n, _ in wanted], *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+        down = [d for _, d in order for _ in (0, 1)]
+        if q.distinct:  # before the order, or a limit would count repeats
+            out = out.groupBy(*shown).agg(*[(F.max if d else F.min)(f"_k{i}").alias(f"_k{i}") for i, d in enumerate(down)]) if keys else out.distinct()
         if keys:
-            out = df.orderBy(*keys).select(*[self.term(("var", n), names).alias(f"v_{n}") for n, _ in wanted])
-        if q.distinct:
-            out = out.distinct()
+            out = out.orderBy(*[F.col(f"_k{i}").desc() if d else F.col(f"_k{i}").asc() for i, d in enumerate(down)])
+        out = out.select(*shown)
         if q.offset:
             out = out.offset(q.offset)
         if q.limit is not None:

@@ -20,6 +20,8 @@ ORACLES: dict[str, str] = {}
 _Q = f"q AS ({quads_sql(demo.COLUMNS, demo.ONTOLOGY)})"
 _D = f"dq AS ({quads_sql(demo.COLUMNS)})"
 _T = f"oq AS ({quads_sql([], demo.ONTOLOGY)})"
+#: The same name for the ontology with a hierarchy and collections out of the tables.
+_K = f"oq AS ({quads_sql(demo.CATALOGUE, demo.ONTOLOGY)})"
 
 
 def query(name: str, oracle: str | None = None):
@@ -164,17 +166,17 @@ for _id, _sql in _CONF_SQL.items():
 
 # ---- fixpoints ---------------------------------------------------------------------------------
 
-_OSUB = f"WITH RECURSIVE {_T}, sub AS (SELECT s a, o b FROM oq WHERE p = '{t.SUBCLASS}' AND o_kind < 2), up(a, b) AS (SELECT a, b FROM sub UNION SELECT up.a, sub.b FROM up JOIN sub ON up.b = sub.a)"
+_OSUB = f"WITH RECURSIVE {_K}, sub AS (SELECT s a, o b FROM oq WHERE p = '{t.SUBCLASS}' AND o_kind < 2), up(a, b) AS (SELECT a, b FROM sub UNION SELECT up.a, sub.b FROM up JOIN sub ON up.b = sub.a)"
 
 
 @query("subclass_closure", f"{_OSUB} SELECT a, b FROM up")
 def subclass_closure(spark, sf_dir):
-    return fixpoint.transitive_closure(demo.ontology(spark).edges(t.SUBCLASS))
+    return fixpoint.transitive_closure(demo.catalogue(spark, sf_dir).edges(t.SUBCLASS), one_task=0)
 
 
 @query("descendants", f"{_OSUB} SELECT b AS a, a AS b FROM up UNION SELECT a, a FROM sub UNION SELECT b, b FROM sub")
 def descendants(spark, sf_dir):
-    return fixpoint.descendants(demo.ontology(spark).edges(t.SUBCLASS))
+    return fixpoint.descendants(demo.catalogue(spark, sf_dir).edges(t.SUBCLASS), one_task=0)
 
 
 @query(
@@ -182,7 +184,7 @@ def descendants(spark, sf_dir):
     f"{_OSUB}, acyc AS (SELECT * FROM sub WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.a = sub.b AND up.b = sub.a)), path(a, b, d) AS (SELECT a, b, 1 FROM acyc UNION SELECT path.a, acyc.b, d + 1 FROM path JOIN acyc ON path.b = acyc.a) SELECT n AS node, CAST(coalesce(max(d), 0) AS BIGINT) AS depth FROM (SELECT a n FROM sub UNION SELECT b FROM sub) LEFT JOIN path ON n = a GROUP BY n",
 )
 def class_depth(spark, sf_dir):
-    return fixpoint.depth(demo.ontology(spark).edges(t.SUBCLASS))
+    return fixpoint.depth(demo.catalogue(spark, sf_dir).edges(t.SUBCLASS), one_task=0)
 
 
 @query(
@@ -194,9 +196,9 @@ def components(spark, sf_dir):
     return fixpoint.connected_components(g.where((F.col("p") != t.TYPE) & (F.col("o_kind") < 2)).select(F.col("s").alias("a"), F.col("o").alias("b")))
 
 
-@query("description", f"WITH RECURSIVE {_T}, r(root, n) AS (SELECT DISTINCT s, s FROM oq WHERE s_kind = 0 UNION SELECT r.root, o FROM r JOIN oq ON n = s WHERE o_kind = 1) SELECT DISTINCT root, s, p, o FROM r JOIN oq ON n = s")
+@query("description", f"WITH RECURSIVE {_K}, r(root, n) AS (SELECT DISTINCT s, s FROM oq WHERE s_kind = 0 UNION SELECT r.root, o FROM r JOIN oq ON n = s WHERE o_kind = 1) SELECT DISTINCT root, s, p, o FROM r JOIN oq ON n = s")
 def description(spark, sf_dir):
-    g = demo.ontology(spark)
+    g = demo.catalogue(spark, sf_dir)
     return fixpoint.frontier(g.where("s_kind = 0").select("s").distinct(), g.triples).select("root", "s", "p", "o").distinct()
 
 
@@ -214,16 +216,16 @@ def description_shop(spark, sf_dir):
 
 @query(
     "list_members",
-    f"WITH RECURSIVE {_T}, r(head, cell, i) AS (SELECT s, s, 0 FROM oq WHERE p = '{t.RDF}first' AND s NOT IN (SELECT o FROM oq WHERE p = '{t.RDF}rest') UNION SELECT head, o, i + 1 FROM r JOIN oq ON cell = s WHERE p = '{t.RDF}rest' AND o_kind = 1) SELECT head, CAST(i AS BIGINT) AS position, o AS member FROM r JOIN oq ON cell = s WHERE p = '{t.RDF}first'",
+    f"WITH RECURSIVE {_K}, r(head, cell, i) AS (SELECT s, s, 0 FROM oq WHERE p = '{t.RDF}first' AND s NOT IN (SELECT o FROM oq WHERE p = '{t.RDF}rest') UNION SELECT head, o, i + 1 FROM r JOIN oq ON cell = s WHERE p = '{t.RDF}rest' AND o_kind = 1) SELECT head, CAST(i AS BIGINT) AS position, o AS member FROM r JOIN oq ON cell = s WHERE p = '{t.RDF}first'",
 )
 def list_members(spark, sf_dir):
-    g = demo.ontology(spark)
+    g = demo.catalogue(spark, sf_dir)
     return fixpoint.list_members(g.edges(t.RDF + "first"), g.edges(t.RDF + "rest"), t.RDF + "nil")
 
 
-@query("nearest_named", f"WITH RECURSIVE {_T}, r(node, up, k, d) AS (SELECT o, s, s_kind, 1 FROM oq WHERE o_kind = 1 UNION SELECT r.node, s, s_kind, d + 1 FROM r JOIN oq ON up = o WHERE k = 1 AND d < 4) SELECT node, arg_min(up, (d, up)) AS owner FROM r WHERE k = 0 GROUP BY node")
+@query("nearest_named", f"WITH RECURSIVE {_K}, r(node, up, k, d) AS (SELECT o, s, s_kind, 1 FROM oq WHERE o_kind = 1 UNION SELECT r.node, s, s_kind, d + 1 FROM r JOIN oq ON up = o WHERE k = 1 AND d < 4) SELECT node, arg_min(up, (d, up)) AS owner FROM r WHERE k = 0 GROUP BY node")
 def nearest_named(spark, sf_dir):
-    return fixpoint.nearest_named(demo.ontology(spark).triples)
+    return fixpoint.nearest_named(demo.catalogue(spark, sf_dir).triples)
 
 
 # ---- metrics -----------------------------------------------------------------------------------
@@ -342,24 +344,24 @@ def declared_richness(spark, sf_dir):
 _AXES = (*(t.RDFS + x for x in ("subClassOf", "domain", "range")), *(_OWL + x for x in ("equivalentClass", "disjointWith", "inverseOf", "someValuesFrom", "maxCardinality", "onProperty", "unionOf")))
 
 
-@query("expressivity", f"WITH {_T} SELECT regexp_replace(p, '^.*#', '') AS feature, count(*) AS uses FROM oq WHERE p IN {_in(*_AXES)} GROUP BY 1 UNION ALL SELECT regexp_replace(o, '^.*#', ''), count(*) FROM oq WHERE p = '{t.TYPE}' AND o IN {_in(*t.CHARACTERISTICS, _OWL + 'Restriction')} GROUP BY 1 UNION ALL SELECT 'deprecated', count(*) FROM oq WHERE p = '{_OWL}deprecated' AND o = 'true'")
+@query("expressivity", f"WITH {_K} SELECT regexp_replace(p, '^.*#', '') AS feature, count(*) AS uses FROM oq WHERE p IN {_in(*_AXES)} GROUP BY 1 UNION ALL SELECT regexp_replace(o, '^.*#', ''), count(*) FROM oq WHERE p = '{t.TYPE}' AND o IN {_in(*t.CHARACTERISTICS, _OWL + 'Restriction')} GROUP BY 1 UNION ALL SELECT 'deprecated', count(*) FROM oq WHERE p = '{_OWL}deprecated' AND o = 'true'")
 def expressivity(spark, sf_dir):
-    return metrics.expressivity(demo.ontology(spark))
+    return metrics.expressivity(demo.catalogue(spark, sf_dir))
 
 
-@query("property_kinds", f"WITH {_T} SELECT s AS p, CASE WHEN bool_or(p = '{t.TYPE}' AND o = '{t.OBJECT_PROPERTY}') THEN 'object' WHEN bool_or(p = '{t.TYPE}' AND o = '{t.DATATYPE_PROPERTY}') THEN 'datatype' WHEN bool_and(starts_with(o, '{t.XSD}')) FILTER (p = '{t.RANGE}') THEN 'datatype' ELSE 'object' END AS kind FROM oq WHERE (p = '{t.TYPE}' AND o IN {_in(*t.PROPERTY_KINDS)}) OR p = '{t.RANGE}' GROUP BY s")
+@query("property_kinds", f"WITH {_K} SELECT s AS p, CASE WHEN bool_or(p = '{t.TYPE}' AND o = '{t.OBJECT_PROPERTY}') THEN 'object' WHEN bool_or(p = '{t.TYPE}' AND o = '{t.DATATYPE_PROPERTY}') THEN 'datatype' WHEN bool_and(starts_with(o, '{t.XSD}')) FILTER (p = '{t.RANGE}') THEN 'datatype' ELSE 'object' END AS kind FROM oq WHERE (p = '{t.TYPE}' AND o IN {_in(*t.PROPERTY_KINDS)}) OR p = '{t.RANGE}' GROUP BY s")
 def property_kinds(spark, sf_dir):
-    return metrics.property_kinds(demo.ontology(spark))
+    return metrics.property_kinds(demo.catalogue(spark, sf_dir))
 
 
-@query("anonymous_classes", f"WITH {_T} SELECT s AS node, CASE WHEN p = '{t.TYPE}' THEN 'restriction' ELSE regexp_replace(p, '^.*#', '') END AS kind FROM oq WHERE s_kind = 1 AND ((p = '{t.TYPE}' AND o = '{_OWL}Restriction') OR p IN {_in(*(_OWL + x for x in ('unionOf', 'intersectionOf', 'oneOf', 'complementOf')))})")
+@query("anonymous_classes", f"WITH {_K} SELECT s AS node, CASE WHEN p = '{t.TYPE}' THEN 'restriction' ELSE regexp_replace(p, '^.*#', '') END AS kind FROM oq WHERE s_kind = 1 AND ((p = '{t.TYPE}' AND o = '{_OWL}Restriction') OR p IN {_in(*(_OWL + x for x in ('unionOf', 'intersectionOf', 'oneOf', 'complementOf')))})")
 def anonymous_classes(spark, sf_dir):
-    return metrics.anonymous_classes(demo.ontology(spark))
+    return metrics.anonymous_classes(demo.catalogue(spark, sf_dir))
 
 
 @query("cyclic_classes", f"{_OSUB} SELECT a AS class FROM up WHERE a = b")
 def cyclic_classes(spark, sf_dir):
-    return metrics.cyclic_classes(demo.ontology(spark))
+    return metrics.cyclic_classes(demo.catalogue(spark, sf_dir))
 
 
 # ---- versions ----------------------------------------------------------------------------------
@@ -430,9 +432,9 @@ def rename_similar_name(spark, sf_dir):
 # ---- queries in text, reasoning, mapping, repair, reports ---------------------------------------
 
 
-@query("sparql_unlabelled", f"WITH {_T} SELECT s AS focus FROM oq WHERE p = '{t.TYPE}' AND o = '{t.CLASS}' AND s NOT IN (SELECT s FROM oq WHERE p IN {_in(t.LABEL, t.PREF_LABEL)})")
+@query("sparql_unlabelled", f"WITH {_K} SELECT s AS focus FROM oq WHERE p = '{t.TYPE}' AND o = '{t.CLASS}' AND s NOT IN (SELECT s FROM oq WHERE p IN {_in(t.LABEL, t.PREF_LABEL)})")
 def sparql_unlabelled(spark, sf_dir):
-    return sparql.select(demo.ontology(spark), "SELECT ?focus WHERE { ?focus a owl:Class . FILTER NOT EXISTS { ?focus rdfs:label|skos:prefLabel [] } }")
+    return sparql.select(demo.catalogue(spark, sf_dir), "SELECT ?focus WHERE { ?focus a owl:Class . FILTER NOT EXISTS { ?focus rdfs:label|skos:prefLabel [] } }")
 
 
 @query("sparql_group", f"WITH {_Q} SELECT o AS customer, CAST(count(*) AS VARCHAR) AS orders FROM q WHERE p = 'urn:c/customer' GROUP BY o HAVING count(*) > 15")
@@ -447,15 +449,46 @@ def sparql_optional(spark, sf_dir):
 
 @query("sparql_path", f"{_OSUB} SELECT a AS class, CAST(count(*) AS VARCHAR) AS above FROM up GROUP BY a")
 def sparql_path(spark, sf_dir):
-    return sparql.select(demo.ontology(spark), "SELECT ?class (COUNT(DISTINCT ?up) AS ?above) WHERE { ?class rdfs:subClassOf+ ?up } GROUP BY ?class")
+    return sparql.select(demo.catalogue(spark, sf_dir), "SELECT ?class (COUNT(DISTINCT ?up) AS ?above) WHERE { ?class rdfs:subClassOf+ ?up } GROUP BY ?class")
 
 
-@query("sparql_update", f"WITH {_T} SELECT 'added' AS change, s, o FROM oq WHERE p = '{t.LABEL}' AND o_lang IS NULL UNION ALL SELECT 'removed', s, o FROM oq WHERE p = '{t.LABEL}' AND o_lang IS NULL")
+@query("sparql_update", f"WITH {_K} SELECT 'added' AS change, s, o FROM oq WHERE p = '{t.LABEL}' AND o_lang IS NULL UNION ALL SELECT 'removed', s, o FROM oq WHERE p = '{t.LABEL}' AND o_lang IS NULL")
 def sparql_update(spark, sf_dir):
-    _, added, removed = sparql.update(demo.ontology(spark), "DELETE { ?e rdfs:label ?l } INSERT { ?e rdfs:label ?n } WHERE { ?e rdfs:label ?l . FILTER(LANG(?l) = '') BIND(STRLANG(STR(?l), 'en') AS ?n) }")
+    _, added, removed = sparql.update(demo.catalogue(spark, sf_dir), "DELETE { ?e rdfs:label ?l } INSERT { ?e rdfs:label ?n } WHERE { ?e rdfs:label ?l . FILTER(LANG(?l) = '') BIND(STRLANG(STR(?l), 'en') AS ?n) }")
     return added.select(F.lit("added").alias("change"), "s", "o").union(removed.select(F.lit("removed").alias("change"), "s", "o"))
 
 
+@query("sparql_distinct_order", f"WITH {_D} SELECT DISTINCT o AS segment FROM dq WHERE p = 'urn:c/segment' ORDER BY o DESC LIMIT 3")
+def sparql_distinct_order(spark, sf_dir):
+    return sparql.select(demo.data(spark, sf_dir), "PREFIX c: <urn:c/> SELECT DISTINCT ?segment WHERE { ?x c:segment ?segment } ORDER BY DESC(?segment) LIMIT 3")
+
+
+@query("sparql_optional_filter", f"WITH {_D} SELECT a.s AS part, b.s AS larger FROM dq a JOIN dq x ON x.s = a.s AND x.p = 'urn:c/size' LEFT JOIN (SELECT b.s, b.o, y.o AS n FROM dq b JOIN dq y ON y.s = b.s AND y.p = 'urn:c/size' WHERE b.p = 'urn:c/brand') b ON b.o = a.o AND CAST(b.n AS INT) > CAST(x.o AS INT) + 40 WHERE a.p = 'urn:c/brand'")
+def sparql_optional_filter(spark, sf_dir):
+    return sparql.select(demo.data(spark, sf_dir), "PREFIX c: <urn:c/> SELECT ?part ?larger WHERE { ?part c:brand ?brand ; c:size ?n . OPTIONAL { ?larger c:brand ?brand ; c:size ?m . FILTER(?m > ?n + 40) } }")
+
+
+@query("sparql_union_values", f"WITH {_D} SELECT s AS who, o AS nation FROM dq WHERE p = 'urn:c/nation' AND starts_with(s, 'urn:t/customer/') AND o IN ('urn:t/nation/1', 'urn:t/nation/7') UNION ALL SELECT s, o FROM dq WHERE p = 'urn:c/nation' AND starts_with(s, 'urn:t/supplier/') AND o IN ('urn:t/nation/1', 'urn:t/nation/7')")
+def sparql_union_values(spark, sf_dir):
+    return sparql.select(demo.data(spark, sf_dir), "PREFIX c: <urn:c/> SELECT ?who ?nation WHERE { VALUES ?nation { <urn:t/nation/1> <urn:t/nation/7> } { ?who c:nation ?nation . FILTER(STRSTARTS(STR(?who), 'urn:t/customer/')) } UNION { ?who c:nation ?nation . FILTER(STRSTARTS(STR(?who), 'urn:t/supplier/')) } }")
+
+
+@query("sparql_subquery", f"WITH {_D}, n AS (SELECT o AS customer, count(*) AS k FROM dq WHERE p = 'urn:c/customer' GROUP BY o HAVING count(*) > 12) SELECT DISTINCT n.customer, q.o AS segment FROM n JOIN dq q ON q.s = n.customer AND q.p = 'urn:c/segment'")
+def sparql_subquery(spark, sf_dir):
+    return sparql.select(demo.data(spark, sf_dir), "PREFIX c: <urn:c/> SELECT DISTINCT ?customer ?segment WHERE { { SELECT ?customer (COUNT(?o) AS ?k) WHERE { ?o c:customer ?customer } GROUP BY ?customer HAVING (COUNT(?o) > 12) } ?customer c:segment ?segment }")
+
+
+@query("sparql_functions", f"WITH {_D} SELECT s AS part, CASE WHEN contains(o, 'a') THEN 'a' ELSE 'other' END AS letter, regexp_replace(o, '[aeiou]', '_', 'g') AS plain, CASE WHEN regexp_matches(o, '^[a-m]') THEN 'yes' ELSE 'no' END AS early FROM dq WHERE p = '{t.PREF_LABEL}' AND ends_with(o, 'e')")
+def sparql_functions(spark, sf_dir):
+    return sparql.select(demo.data(spark, sf_dir), "SELECT ?part (IF(REGEX(?l, 'a'), 'a', 'other') AS ?letter) (REPLACE(STR(?l), '[aeiou]', '_') AS ?plain) (IF(REGEX(?l, '^[a-m]'), 'yes', 'no') AS ?early) WHERE { ?part skos:prefLabel ?l . FILTER(STRENDS(STR(?l), 'e')) }")
+
+
+@query("sparql_aggregates", f"WITH {_D}, z AS (SELECT b.o AS brand, CAST(n.o AS INT) AS n FROM dq b JOIN dq n ON n.s = b.s AND n.p = 'urn:c/size' WHERE b.p = 'urn:c/brand') SELECT brand, CAST(sum(n) AS DOUBLE) AS total, CAST(CAST(min(n) AS VARCHAR) AS VARCHAR) AS low, CAST(max(n) AS VARCHAR) AS high, CAST(count(DISTINCT n) AS VARCHAR) AS sizes, string_agg(DISTINCT CAST(n AS VARCHAR), '|' ORDER BY CAST(n AS VARCHAR)) AS each FROM z GROUP BY brand")
+def sparql_aggregates(spark, sf_dir):
+    out = sparql.select(demo.data(spark, sf_dir), "PREFIX c: <urn:c/> SELECT ?brand (SUM(?n) AS ?total) (MIN(?n) AS ?low) (MAX(?n) AS ?high) (COUNT(DISTINCT ?n) AS ?sizes) (GROUP_CONCAT(DISTINCT ?n; SEPARATOR='|') AS ?each) WHERE { ?part c:brand ?brand ; c:size ?n } GROUP BY ?brand")
+    return out.withColumn("total", F.col("total").cast("double"))
+
+
 @query("literal_supplement", rf"WITH {_Q} SELECT s AS focus, p AS path, o AS value FROM q WHERE o_kind = 2 AND ((o_dt = '{t.XSD}date' AND try_cast(o AS DATE) IS NULL) OR (o_dt = '{t.XSD}integer' AND NOT regexp_matches(o, '^[-+]?\d+$')))")
 def literal_supplement(spark, sf_dir):
     return checks.ill_typed_literals(demo.shop(spark, sf_dir)).select("focus", "path", "value")
@@ -507,23 +540,23 @@ def rl_types_shop(spark, sf_dir):
     return reasoning.closure(demo.shop(spark, sf_dir).stored()).types.select("s", "c")
 
 
-@query("owl_profiles", f"WITH {_T} SELECT 'EL' AS profile, 'unionOf' AS construct, 'urn:k/Place' AS subject UNION ALL SELECT 'QL', 'unionOf', 'urn:k/Place' UNION ALL SELECT 'RL', 'unionOf', 'urn:k/Place' UNION ALL SELECT x, 'maxCardinality', 'urn:k/Order' FROM (VALUES ('EL'), ('QL'), ('RL')) v(x) UNION ALL SELECT 'EL', 'disjointWith', s FROM oq WHERE p = '{_OWL}disjointWith' UNION ALL SELECT 'EL', 'FunctionalProperty', s FROM oq WHERE p = '{t.TYPE}' AND o = '{_OWL}FunctionalProperty' UNION ALL SELECT 'QL', 'TransitiveProperty', s FROM oq WHERE p = '{t.TYPE}' AND o = '{_OWL}TransitiveProperty' UNION ALL SELECT 'QL', 'someValuesFrom', 'urn:k/Party'")
+@query("owl_profiles", f"WITH {_K} SELECT 'EL' AS profile, 'unionOf' AS construct, 'urn:k/Place' AS subject UNION ALL SELECT 'QL', 'unionOf', 'urn:k/Place' UNION ALL SELECT 'RL', 'unionOf', 'urn:k/Place' UNION ALL SELECT x, 'maxCardinality', 'urn:k/Order' FROM (VALUES ('EL'), ('QL'), ('RL')) v(x) UNION ALL SELECT 'EL', 'disjointWith', s FROM oq WHERE p = '{_OWL}disjointWith' UNION ALL SELECT 'EL', 'FunctionalProperty', s FROM oq WHERE p = '{t.TYPE}' AND o = '{_OWL}FunctionalProperty' UNION ALL SELECT 'QL', 'TransitiveProperty', s FROM oq WHERE p = '{t.TYPE}' AND o = '{_OWL}TransitiveProperty' UNION ALL SELECT 'QL', 'someValuesFrom', 'urn:k/Party'")
 def owl_profiles(spark, sf_dir):
-    return reasoning.profiles(demo.ontology(spark))
+    return reasoning.profiles(demo.catalogue(spark, sf_dir))
 
 
 def _repair(check_id: str, spark, sf_dir):
-    g = demo.ontology(spark)
+    g = demo.catalogue(spark, sf_dir)
     change = repair.repair(g, checks.run_check(g, check_id), check_id)
     return change.added.select(F.lit("added").alias("change"), "s", "p", "o", F.coalesce("o_lang", F.lit("")).alias("lang")).union(change.removed.select(F.lit("removed").alias("change"), "s", "p", "o", F.coalesce("o_lang", F.lit("")).alias("lang")))
 
 
-@query("repair_language", f"WITH {_T} SELECT x AS change, s, p, o, CASE x WHEN 'added' THEN 'en' ELSE '' END AS lang FROM oq, (VALUES ('added'), ('removed')) v(x) WHERE p = '{t.LABEL}' AND o_lang IS NULL")
+@query("repair_language", f"WITH {_K} SELECT x AS change, s, p, o, CASE x WHEN 'added' THEN 'en' ELSE '' END AS lang FROM oq, (VALUES ('added'), ('removed')) v(x) WHERE p = '{t.LABEL}' AND o_lang IS NULL")
 def repair_language(spark, sf_dir):
     return _repair("STY-003", spark, sf_dir)
 
 
-@query("repair_equivalence", f"WITH {_T} SELECT 'removed' AS change, a.s, a.p, a.o, '' AS lang FROM oq a JOIN oq b ON a.s = b.s AND a.o = b.o WHERE a.p = '{t.SUBCLASS}' AND b.p = '{_OWL}equivalentClass'")
+@query("repair_equivalence", f"WITH {_K} SELECT 'removed' AS change, a.s, a.p, a.o, '' AS lang FROM oq a JOIN oq b ON a.s = b.s AND a.o = b.o WHERE a.p = '{t.SUBCLASS}' AND b.p = '{_OWL}equivalentClass'")
 def repair_equivalence(spark, sf_dir):
     return _repair("LOG-003", spark, sf_dir)
 

@@ -23,11 +23,12 @@ class Column:
     datatype: str | None = t.XSD + "string"
     language: str | None = None
     where: str = "true"
+    subject_kind: int = t.IRI
 
     def select(self) -> str:
         dt = "null" if self.kind != t.LITERAL else f"'{t.RDF}langString'" if self.language else f"'{self.datatype}'"
         lang = f"'{self.language}'" if self.language else "null"
-        return f"{self.subject} AS s, 0 AS s_kind, '{self.predicate}' AS p, cast({self.value} AS string) AS o, {self.kind} AS o_kind, cast({dt} AS string) AS o_dt, cast({lang} AS string) AS o_lang"
+        return f"{self.subject} AS s, {self.subject_kind} AS s_kind, '{self.predicate}' AS p, cast({self.value} AS string) AS o, {self.kind} AS o_kind, cast({dt} AS string) AS o_dt, cast({lang} AS string) AS o_lang"
 
 
 def quads(tables: dict[str, DataFrame], columns: list[Column], triples: list[tuple] = (), graph: str = "urn:g/data") -> DataFrame:

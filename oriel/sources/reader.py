@@ -12,7 +12,7 @@ from urllib.parse import urlparse
 from urllib.request import urlopen
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel import terms as t
@@ -134,19 +134,33 @@ def read_rdf(spark: SparkSession, sources: list[str], graph: str | None = None,
     return Graph(out)
 
 
+def unescape(text: Column) -> Column:
+    """N-Triples escapes undone from left to right, each once; surrogate pairs are one character."""
+    pieces = F.regexp_extract_all(text, F.lit(r"((?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), F.lit(1))
+    plain = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+
+    def one(x: Column) -> Column:
+        code = F.substring(x, 2, 1)
+        out = F.when(~x.startswith("\\"), x).when(code == "u", F.decode(F.unhex(F.replace(x, F.lit("\\u"), F.lit(""))), "UTF-16BE")).when(code == "U", F.decode(F.unhex(F.substring(x, 3, 8)), "UTF-32"))
+        for name, char in plain.items():
+            out = out.when(code == name, F.lit(char))
+        return out.otherwise(code)
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
 def read_ntriples(spark: SparkSession, paths: list[str], graph: str | None = None) -> DataFrame:
-    """Lines of N-Triples by column expressions alone, split anywhere."""
+    """Lines of N-Triples by column expressions alone, split anywhere. A line that is none, no comment and not
+    blank fails the job."""
     pattern = r'^\s*(?:<([^>]*)>|_:(\S+))\s*<([^>]*)>\s*(?:<([^>]*)>|_:(\S+?)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
-    text = spark.read.text(paths).withColumn("src", F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")).where(F.col("value").rlike(pattern))
+    text = spark.read.text(paths).withColumn("src", F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")).where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+    text = text.withColumn("value", F.when(F.col("value").rlike(pattern), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not N-Triples in "), "src", F.lit(": "), "value"))))
     part = lambda i: F.regexp_extract("value", pattern, i)
     blank = lambda i: F.concat(F.lit("b"), F.substring(F.md5(F.concat("src", F.lit("\x00"), part(i))), 1, 16))
-    unescaped = part(6)
-    for code, to in (("\\\\t", "\t"), ("\\\\n", "\n"), ("\\\\r", "\r"), ('\\\\"', '"'), ("\\\\\\\\", "\\\\")):
-        unescaped = F.regexp_replace(unescaped, code, to)
     is_blank, o_kind = part(2) != "", F.when(part(5) != "", t.BLANK).when(F.col("value").rlike(r">\s*\.\s*(?:#.*)?$") & (part(8) == "") & (part(4) != ""), t.IRI).otherwise(t.LITERAL)
     return text.select(
-        (F.lit(graph) if graph else F.col("src")).alias("g"), F.when(is_blank, blank(2)).otherwise(part(1)).alias("s"), F.when(is_blank, t.BLANK).otherwise(t.IRI).alias("s_kind"), part(3).alias("p"),
-        F.when(o_kind == t.BLANK, blank(5)).when(o_kind == t.IRI, part(4)).otherwise(unescaped).alias("o"), o_kind.alias("o_kind"),
+        (F.lit(graph) if graph else F.col("src")).alias("g"), F.when(is_blank, blank(2)).otherwise(unescape(part(1))).alias("s"), F.when(is_blank, t.BLANK).otherwise(t.IRI).alias("s_kind"), unescape(part(3)).alias("p"),
+        F.when(o_kind == t.BLANK, blank(5)).when(o_kind == t.IRI, unescape(part(4))).otherwise(unescape(part(6))).alias("o"), o_kind.alias("o_kind"),
         F.when(o_kind == t.LITERAL, F.when(part(7) != "", t.RDF + "langString").when(part(8) != "", part(8)).otherwise(t.XSD + "string")).alias("o_dt"), F.when(part(7) != "", F.lower(part(7))).alias("o_lang"), "src",
     )
 
