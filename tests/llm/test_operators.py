@@ -471,11 +471,10 @@ def test_many_near_copies_pass_on_few_rows(spark):
     sets = spark.createDataFrame(pa.Table.from_batches([b for x in pa.Table.from_pylist([{"doc_id": i, "text": t} for i, t, *_ in docs]).to_batches() for b in ngram_join._signatures(3)(iter([x]))]).select(["doc_id", "sign"]).rename_columns(["rid", "sign"]).to_pandas())
     pairs, members = ngram_join.candidates(sets, 0.5, 0.99)
     assert members.select("rid").distinct().count() > 2900 and pairs.count() + members.count() < 300 * len(docs)
-    got = ngram_join.classes(frame(spark, docs)).agg(F.countDistinct("class_id"), F.sum("n_links"), F.count("*")).first()
-    w = [words_of(t) for _, t, *_ in docs[:150]]
-    runs = [{tuple(x[p : p + 3]) for p in range(len(x) - 2)} for x in w]
-    share = sum(len(a & b) / len(a | b) >= 0.5 for a in runs for b in runs if a is not b) / (150 * 149)
-    assert got[0] <= 10 and got[2] == 3000 and abs(got[1] / (3000 * 2999) - share) < 0.03
+    docs = docs[:800]
+    want = brute_classes(docs)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.classes(frame(spark, docs)).collect()}
+    assert sum(got[i] != x for i, x in want.items()) <= 8 and all(got[i][1] <= x[1] for i, x in want.items())
 
 
 def test_groups_come_in_pieces():
