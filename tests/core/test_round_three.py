@@ -29,3 +29,10 @@ def test_predicates_are_sent_to_the_triples(spark, check_id):
         assert "BroadcastHashJoin" in plan(checks.apply_rule(demo.shop(spark, "/root/testdata/sf0.001"), check_id))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_repeated_literals_are_grouped_in_one_exchange(spark):
+    g = demo.shop(spark, "/root/testdata/sf0.001")
+    assert plan(checks.apply_rule(g, "DAT-003")).count("Exchange hashpartitioning") == 1
+    rows = [("urn:g", X + "a", 0, X + "p", "v", 2, dt, lang, src) for dt, lang in ((t.XSD + "string", None), (t.RDF + "langString", "en")) for src in "xy"] + [("urn:g", X + "b", 0, X + "p", "v", 2, None, None, src) for src in "xy"]
+    assert [r.focus for r in checks.apply_rule(Graph(spark.createDataFrame(rows, t.QUAD)), "DAT-003").collect()] == [X + "a"]
