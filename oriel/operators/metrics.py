@@ -29,31 +29,44 @@ def _entities(g: Graph) -> DataFrame:
     return g.triples.select(F.explode(ends).alias("x")).where("x is not null").groupBy("x.n").agg(F.sum("x.d").alias("degree"))
 
 
+def _entity_count(g: Graph) -> DataFrame:
+    """The number of entities: found without removing repeated triples first."""
+    o = F.when((F.col("p") != t.TYPE) & (F.col("o_kind") < 2), F.col("o"))
+    return g.loose().triples.select(F.explode(F.array("s", o)).alias("n")).where("n is not null").distinct().agg(F.count("*").alias("entity_count"))
+
+
+def _type_counts(g: Graph) -> DataFrame:
+    """The numbers of subjects with a type, and with several; every one of them is an entity."""
+    kinds = g.loose().of(t.TYPE).select("s", "o").distinct().groupBy("s").agg(F.count("*").alias("k"))
+    return kinds.agg(F.count("*").alias("typed"), F.count(F.when(F.col("k") > 1, 1)).alias("multi_typed_entity_count"))
+
+
 def graph_sizes(g: Graph) -> DataFrame:
     """One row: counts of triples by kind, entities, classes and properties."""
     is_type, literal = F.col("p") == t.TYPE, F.col("o_kind") == 2
-    main = g.triples.agg(
-        F.count("*").alias("triple_count"),
-        F.countDistinct(F.when(is_type, F.col("o"))).alias("class_count"),
+    # classes and predicates are few: counted first by each of them, then once more
+    each = g.triples.groupBy("p", F.when(is_type, F.col("o")).alias("c"), literal.alias("literal")).agg(F.count("*").alias("k"))
+    total = lambda x, name: F.coalesce(F.sum(F.when(x, F.col("k"))), F.lit(0)).alias(name)
+    main = each.agg(
+        total(F.lit(True), "triple_count"),
+        F.countDistinct(F.when(is_type, F.col("c"))).alias("class_count"),
         F.countDistinct(F.when(~is_type, F.col("p"))).alias("property_count"),
-        F.count(F.when(is_type, 1)).alias("type_triple_count"),
-        F.count(F.when(~is_type & literal, 1)).alias("literal_triple_count"),
-        F.count(F.when(~is_type & ~literal, 1)).alias("object_triple_count"),
+        total(is_type, "type_triple_count"),
+        total(~is_type & F.col("literal"), "literal_triple_count"),
+        total(~is_type & ~F.col("literal"), "object_triple_count"),
     )
-    return main.crossJoin(_entities(g).agg(F.count("*").alias("entity_count")))
+    return main.crossJoin(_entity_count(g))
 
 
 def graph_typing(g: Graph) -> DataFrame:
     """One row: typed, untyped and multiply typed entities."""
-    kinds = g.of(t.TYPE).groupBy(F.col("s").alias("n")).agg(F.countDistinct("o").alias("k"))
-    all_of = _entities(g).join(kinds, "n", "left")
-    counts = all_of.agg(F.count("*").alias("entities"), F.count("k").alias("typed"), F.count(F.when(F.col("k") > 1, 1)).alias("multi_typed_entity_count"))
+    counts = _type_counts(g).crossJoin(_entity_count(g)).withColumnRenamed("entity_count", "entities")
     return counts.select("typed", (F.col("entities") - F.col("typed")).alias("untyped_entity_count"), ratio(F.col("entities") - F.col("typed"), F.col("entities")).alias("untyped_entity_ratio"), "multi_typed_entity_count")
 
 
 def graph_richness(g: Graph) -> DataFrame:
     """One row: attribute, relationship and class richness, and average population."""
-    x = graph_sizes(g).crossJoin(graph_typing(g))
+    x = graph_sizes(g).crossJoin(_type_counts(g))
     return x.select(
         ratio(F.col("literal_triple_count"), F.col("entity_count")).alias("attribute_richness"),
         ratio(F.col("object_triple_count"), F.col("object_triple_count") + F.col("type_triple_count")).alias("relationship_richness"),

@@ -36,3 +36,18 @@ def test_repeated_literals_are_grouped_in_one_exchange(spark):
     assert plan(checks.apply_rule(g, "DAT-003")).count("Exchange hashpartitioning") == 1
     rows = [("urn:g", X + "a", 0, X + "p", "v", 2, dt, lang, src) for dt, lang in ((t.XSD + "string", None), (t.RDF + "langString", "en")) for src in "xy"] + [("urn:g", X + "b", 0, X + "p", "v", 2, None, None, src) for src in "xy"]
     assert [r.focus for r in checks.apply_rule(Graph(spark.createDataFrame(rows, t.QUAD)), "DAT-003").collect()] == [X + "a"]
+
+
+def test_sizes_do_not_multiply_triples(spark):
+    """Distinct counts beside each other would copy every triple."""
+    g = demo.shop(spark, "/root/testdata/sf0.001")
+    text = plan(metrics.graph_sizes(g))
+    assert text.index("keys=[p#") > text.index("Expand")
+    none = graph(spark, ("a", "p", "b")).triples.limit(0).select(F.lit("g").alias("g"), "*", F.lit("x").alias("src"))
+    assert tuple(metrics.graph_sizes(Graph(none)).first()) == (0,) * 7
+
+
+def test_typing_without_a_join(spark):
+    g = demo.shop(spark, "/root/testdata/sf0.001")
+    text = plan(metrics.graph_typing(g))
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
