@@ -12,6 +12,7 @@ from oriel.fixpoint import connected_components, depth, transitive_closure
 from oriel.functions import iri
 from oriel.graph import Graph
 from oriel.operators.conformance import Declarations
+from oriel.storage import materialise
 
 UNTYPED = "(untyped)"
 
@@ -118,19 +119,25 @@ class Schema:
     """A schema induced from how a graph uses classes and properties; explicit axioms take precedence."""
 
     def __init__(self, g: Graph):
-        self.g = g
+        # all below is about sets, so repeated triples do no harm and need not be removed first
+        self.g = g = g.loose()
         self.types = g.of(t.TYPE).where(~F.col("o").isin(t.CLASS_KINDS)).select("s", F.col("o").alias("c")).distinct()
-        self.parents = g.edges(t.SUBCLASS)
+        self.parents = g.edges(t.SUBCLASS).distinct()
         self.explicit_classes = g.typed(*t.CLASS_KINDS).select(F.col("s").alias("c")).distinct()
         self.classes = self.explicit_classes.union(self.types.select("c")).union(self.parents.select("a")).union(self.parents.select("b")).distinct()
         uses = g.where(~F.col("p").isin(t.TYPE, *t.ANNOTATIONS))
         self.properties = uses.groupBy("p").agg(F.max(F.col("o_kind") == 2).alias("literal"), F.max(F.col("o_kind") < 2).alias("resource"))
-        left = uses.select("p", "s").distinct().join(self.types, "s", "left").select("p", F.coalesce("c", F.lit(UNTYPED)).alias("c")).distinct()
-        right = uses.where("o_kind < 2").select("p", F.col("o").alias("s")).distinct().join(self.types, "s", "left").select("p", F.coalesce("c", F.lit(UNTYPED)).alias("c")).distinct()
         stated = lambda p: g.of(p).select(F.col("s").alias("p"), F.col("o").alias("c")).distinct()
         self.explicit_domain, self.explicit_range = stated(t.DOMAIN), stated(t.RANGE)
-        either = lambda stated, used: stated.union(used.join(stated.select("p").distinct(), "p", "left_anti")).join(self.properties.select("p"), "p", "left_semi")
-        self.domain, self.range = either(self.explicit_domain, left), either(self.explicit_range, right)
+
+        def ends(stated: DataFrame, used: DataFrame) -> DataFrame:
+            """``p, c``: as stated, else the types of what the predicate is used with. Predicates are few."""
+            used = used.join(F.broadcast(stated.select("p").distinct()), "p", "left_anti")
+            found = used.join(self.types, "s", "left").select("p", F.coalesce("c", F.lit(UNTYPED)).alias("c")).distinct()
+            return materialise(stated.join(self.properties.select("p"), "p", "left_semi").union(found), "schema")
+
+        # an object can be that of most triples, a subject is not
+        self.domain, self.range = ends(self.explicit_domain, uses.select("p", "s")), ends(self.explicit_range, uses.where("o_kind < 2").select("p", F.col("o").alias("s")).distinct())
         self.annotated = g.of(t.LABEL, t.COMMENT).select(F.col("s").alias("c")).distinct()
 
 

@@ -51,3 +51,12 @@ def test_typing_without_a_join(spark):
     g = demo.shop(spark, "/root/testdata/sf0.001")
     text = plan(metrics.graph_typing(g))
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
+
+
+def test_schema_is_found_without_storing_the_graph(spark):
+    g = graph(spark, ("a", t.TYPE, X + "A"), ("a", "p", X + "b"), ("b", t.TYPE, X + "B"), ("c", "p", X + "b"), ("a", "q", 1))
+    twice = Graph(g.quads.unionAll(g.quads))
+    schema = metrics.Schema(twice)
+    assert {(r.p[-1], r.c[-1]) for r in schema.domain.collect()} == {("p", "A"), ("p", ")"), ("q", "A")}
+    assert {(r.p[-1], r.c[-1]) for r in schema.range.collect()} == {("p", "B")}
+    assert schema.domain.inputFiles()
