@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oriel import terms as t
-from oriel.fixpoint import connected_components, depth, transitive_closure
+from oriel.fixpoint import component_ids, depth, transitive_closure
 from oriel.functions import iri
 from oriel.graph import Graph
 from oriel.operators.conformance import Declarations
@@ -82,10 +82,11 @@ def graph_degrees(g: Graph) -> DataFrame:
 
 def graph_components(g: Graph) -> DataFrame:
     """One row: connected components over object triples, isolated entities included."""
-    edges = g.where((F.col("p") != t.TYPE) & (F.col("o_kind") < 2)).select(F.col("s").alias("a"), F.col("o").alias("b"))
-    found = connected_components(edges)
-    sizes = _entities(g).join(found, F.col("n") == F.col("node"), "left").groupBy(F.coalesce("component", "n").alias("c")).agg(F.count("*").alias("size"))
-    return sizes.agg(F.count("*").alias("connected_component_count"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component_size"), F.count(F.when(F.col("size") == 1, 1)).alias("isolated_entity_count"))
+    edges = g.loose().where((F.col("p") != t.TYPE) & (F.col("o_kind") < 2)).select(F.col("s").alias("a"), F.col("o").alias("b"))
+    found, _ = component_ids(edges)
+    sizes = found.groupBy("root").agg(F.count("*").alias("size")).agg(F.count("*").alias("components"), F.coalesce(F.sum("size"), F.lit(0)).alias("nodes"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"))
+    alone = F.col("entity_count") - F.col("nodes")
+    return sizes.crossJoin(_entity_count(g)).select((F.col("components") + alone).alias("connected_component_count"), F.greatest("largest", F.least("entity_count", F.lit(1))).alias("largest_component_size"), alone.alias("isolated_entity_count"))
 
 
 def predicate_table(g: Graph, top: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from oriel import demo
 from oriel import terms as t
 from oriel.graph import Graph
+from oriel import fixpoint
 from oriel.operators import checks, metrics
 
 X = "http://example.org/"
@@ -60,3 +61,30 @@ def test_schema_is_found_without_storing_the_graph(spark):
     assert {(r.p[-1], r.c[-1]) for r in schema.domain.collect()} == {("p", "A"), ("p", ")"), ("q", "A")}
     assert {(r.p[-1], r.c[-1]) for r in schema.range.collect()} == {("p", "B")}
     assert schema.domain.inputFiles()
+
+
+def pairs(spark, *edges):
+    return spark.createDataFrame(list(edges), "a string, b string")
+
+
+def counted(monkeypatch, run):
+    """Rows written for each kind of intermediate table."""
+    rows, real = {}, fixpoint.materialise
+
+    def spy(df, label):
+        out = real(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(fixpoint, "materialise", spy)
+    return run(), rows
+
+
+def test_components_shrink_stars(spark, monkeypatch):
+    """Long paths, stars and loops; after two rounds a star has no edges left."""
+    path = [(f"p{i:02}", f"p{i + 1:02}") for i in range(30)]
+    star = [("hub", f"s{i:02}") for i in range(40)]
+    got = {r.node: r.component for r in fixpoint.connected_components(pairs(spark, *path, *star, ("x", "x"), ("y", None))).collect()}
+    assert got == {f"p{i:02}": "p00" for i in range(31)} | {n: "hub" for n in ("hub", *(f"s{i:02}" for i in range(40)))}
+    _, rows = counted(monkeypatch, lambda: fixpoint.component_ids(pairs(spark, *star)))
+    assert len(rows["components"]) <= 6
