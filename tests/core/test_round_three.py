@@ -88,3 +88,9 @@ def test_components_shrink_stars(spark, monkeypatch):
     assert got == {f"p{i:02}": "p00" for i in range(31)} | {n: "hub" for n in ("hub", *(f"s{i:02}" for i in range(40)))}
     _, rows = counted(monkeypatch, lambda: fixpoint.component_ids(pairs(spark, *star)))
     assert len(rows["components"]) <= 6
+
+
+def test_descriptions_write_only_blank_nodes(spark, monkeypatch):
+    g = demo.catalogue(spark, "/root/testdata/sf0.001").loose()
+    _, rows = counted(monkeypatch, lambda: fixpoint.frontier(None, g.triples, ["s", "p", "o"]).count())
+    assert max(rows["description"]) < g.where("s_kind = 0").count() / 2
