@@ -56,16 +56,20 @@ def transitive_closure(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     edges = edges.select("a", "b").where("a is not null and b is not null").distinct()
     if _small(edges, one_task):
         return _in_one_task(edges, closure_pairs, "a string, b string")
-    known = materialise(edges, "closure")
+    # ``known`` has all paths up to a length, ``power`` those of that length alone: a pair with one path is made once
+    known = power = materialise(edges, "closure")
     count = known.count()
     while True:
-        step = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        former, known = known, materialise(known.union(step).distinct(), "closure")
-        release(former)
-        grown = known.count()
+        then = lambda x, y: x.alias("x").join(y.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+        more = materialise(known.union(then(power, known)).distinct(), "closure")
+        grown = more.count()
+        spent = [known] if power is known else [known, power]
         if grown == count:
-            return known
-        count = grown
+            release(*spent)
+            return more
+        twice = materialise(then(power, power).distinct(), "closure")
+        release(*spent)
+        known, power, count = more, twice, grown
 
 
 def descendants(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:

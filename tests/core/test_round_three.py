@@ -94,3 +94,9 @@ def test_descriptions_write_only_blank_nodes(spark, monkeypatch):
     g = demo.catalogue(spark, "/root/testdata/sf0.001").loose()
     _, rows = counted(monkeypatch, lambda: fixpoint.frontier(None, g.triples, ["s", "p", "o"]).count())
     assert max(rows["description"]) < g.where("s_kind = 0").count() / 2
+
+
+def test_closure_makes_each_pair_of_a_tree_once(spark):
+    tree = [(f"n{i}", f"n{i // 2}") for i in range(2, 64)]
+    got = [tuple(r) for r in fixpoint.transitive_closure(pairs(spark, *tree), one_task=0).collect()]
+    assert len(got) == len(set(got)) == sum(i.bit_length() - 1 for i in range(1, 64))
