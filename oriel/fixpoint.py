@@ -72,6 +72,27 @@ def transitive_closure(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         known, power, count = more, twice, grown
 
 
+def cyclic(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``a, b``: pairs of nodes of one cycle, each with itself as well.
+
+    Edges that nothing leads to, or that lead to nothing, are on no cycle: they are taken off while that takes off a
+    tenth at least, and only what is left is closed.
+    """
+    edges = edges.select("a", "b").where("a is not null and b is not null").distinct()
+    if not _small(edges, one_task):
+        edges = materialise(edges, "cyclic")
+        count = edges.count()
+        while True:
+            inner = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
+            inner = materialise(inner.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "cyclic")
+            release(edges)
+            before, count, edges = count, inner.count(), inner
+            if count > 0.9 * before or not count:
+                break
+    pairs = transitive_closure(edges, one_task)
+    return pairs.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
+
+
 def descendants(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``a, b``: every node and all that is below it, itself included."""
     pairs = transitive_closure(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), one_task)

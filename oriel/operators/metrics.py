@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oriel import terms as t
-from oriel.fixpoint import component_ids, depth, transitive_closure
+from oriel.fixpoint import component_ids, cyclic, depth, transitive_closure
 from oriel.functions import iri
 from oriel.graph import Graph
 from oriel.operators.conformance import Declarations
@@ -228,4 +228,4 @@ def anonymous_classes(ontology: Graph) -> DataFrame:
 
 
 def cyclic_classes(ontology: Graph) -> DataFrame:
-    return transitive_closure(ontology.edges(t.SUBCLASS)).where("a = b").select(F.col("a").alias("class"))
+    return cyclic(ontology.edges(t.SUBCLASS)).where("a = b").select(F.col("a").alias("class"))

@@ -100,3 +100,10 @@ def test_closure_makes_each_pair_of_a_tree_once(spark):
     tree = [(f"n{i}", f"n{i // 2}") for i in range(2, 64)]
     got = [tuple(r) for r in fixpoint.transitive_closure(pairs(spark, *tree), one_task=0).collect()]
     assert len(got) == len(set(got)) == sum(i.bit_length() - 1 for i in range(1, 64))
+
+
+def test_cycles_without_the_closure_of_all(spark, monkeypatch):
+    tree = [(f"n{i}", f"n{i // 2}") for i in range(2, 128)]
+    got, rows = counted(monkeypatch, lambda: fixpoint.cyclic(pairs(spark, *tree, ("n9", "n8"), ("n8", "n9"), ("n3", "n3")), one_task=0).collect())
+    assert {tuple(r) for r in got} == {("n8", "n8"), ("n8", "n9"), ("n9", "n8"), ("n9", "n9"), ("n3", "n3")}
+    assert max(rows.get("closure", [0])) < 60
