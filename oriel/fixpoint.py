@@ -147,15 +147,34 @@ def depths(pdf: pd.DataFrame) -> pd.DataFrame:
 def depth(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``node, depth``: the longest way up, over the condensation of cycles.
 
-    The distributed form takes the closure and doubles known longest paths between its pairs.
+    The distributed form takes off the edges to roots, level by level. What is deeper than ``LEVELS`` is done by
+    doubling longest paths between pairs.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null").distinct()
     if _small(edges, one_task):
         return _in_one_task(edges, depths, "node string, depth long")
-    pairs = transitive_closure(edges, one_task)
-    mutual = pairs.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).groupBy("a").agg(F.min("b").alias("g")).select(F.col("a").alias("n"), "g")
+    edges = materialise(edges, "depth")
+    mutual = materialise(cyclic(edges, one_task).groupBy("a").agg(F.min("b").alias("g")).select(F.col("a").alias("n"), "g"), "depth")
     name = lambda df, c: df.join(mutual.withColumnRenamed("n", c), c, "left").withColumn(c, F.coalesce("g", c)).drop("g")
-    longest = materialise(name(name(edges, "a"), "b").where("a <> b").select("a", "b", F.lit(1).cast("long").alias("d")).distinct(), "depth")
+    left = materialise(name(name(edges, "a"), "b").where("a <> b").select("a", "b").distinct(), "depth")
+    # a node is as deep as there are rounds in which it leads anywhere
+    levels = []
+    while len(levels) < LEVELS and not left.isEmpty():
+        levels.append(materialise(left.select("a").distinct(), "depth"))
+        former, left = left, materialise(left.join(levels[-1].withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"), "depth")
+        release(former)
+    one = F.lit(1).cast("long").alias("d")
+    best = reduce(DataFrame.union, [x.select("a", one) for x in levels], left.select("a", one).limit(0))
+    if not left.isEmpty():
+        best = best.union(_longest(left))
+    best = best.groupBy("a").agg(F.sum("d").alias("d"))
+    nodes = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "node").join(mutual, F.col("node") == F.col("n"), "left").withColumn("r", F.coalesce("g", "node"))
+    return nodes.join(best, F.col("r") == F.col("a"), "left").select("node", F.coalesce("d", F.lit(0)).cast("long").alias("depth"))
+
+
+def _longest(edges: DataFrame) -> DataFrame:
+    """``a, d``: the longest way up from each node of an acyclic graph, by doubling."""
+    longest = materialise(edges.select("a", "b", F.lit(1).cast("long").alias("d")), "depth")
     total = None
     while True:
         more = longest.alias("x").join(longest.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.d") + F.col("y.d")).alias("d"))
@@ -165,9 +184,7 @@ def depth(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         if tuple(state) == total:
             break
         total = tuple(state)
-    best = longest.groupBy("a").agg(F.max("d").alias("d"))
-    nodes = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "node").join(mutual, F.col("node") == F.col("n"), "left").withColumn("r", F.coalesce("g", "node"))
-    return nodes.join(best, F.col("r") == F.col("a"), "left").select("node", F.coalesce("d", F.lit(0)).cast("long").alias("depth"))
+    return longest.groupBy("a").agg(F.max("d").alias("d"))
 
 
 def component_ids(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:

@@ -107,3 +107,11 @@ def test_cycles_without_the_closure_of_all(spark, monkeypatch):
     got, rows = counted(monkeypatch, lambda: fixpoint.cyclic(pairs(spark, *tree, ("n9", "n8"), ("n8", "n9"), ("n3", "n3")), one_task=0).collect())
     assert {tuple(r) for r in got} == {("n8", "n8"), ("n8", "n9"), ("n9", "n8"), ("n9", "n9"), ("n3", "n3")}
     assert max(rows.get("closure", [0])) < 60
+
+
+def test_depth_level_by_level_and_below(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "LEVELS", 3)
+    edges = pairs(spark, *[(f"n{i + 1}", f"n{i}") for i in range(9)], ("n9", "n2"), ("n4", "n5"), ("z", "n9"))
+    want = {f"n{i}": i if i < 4 else 4 if i < 6 else i - 1 for i in range(10)} | {"z": 9}
+    got, rows = counted(monkeypatch, lambda: {r.node: r.depth for r in fixpoint.depth(edges, one_task=0).collect()})
+    assert got == want
