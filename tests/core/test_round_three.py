@@ -7,7 +7,7 @@ from oriel import demo
 from oriel import terms as t
 from oriel.graph import Graph
 from oriel import fixpoint
-from oriel.operators import checks, metrics
+from oriel.operators import checks, metrics, reasoning
 from oriel.plans import sparql
 
 X = "http://example.org/"
@@ -136,3 +136,26 @@ def test_optional_filter_compares_terms_once(spark):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     outer = next(line for line in text.splitlines() if "Join LeftOuter" in line)
     assert ">" not in outer.replace("<=>", "")
+
+
+def test_closed_types_without_pairs_of_equal_individuals(spark, monkeypatch):
+    """Parts that functional links chain together are one in all rounds; classes and predicates may be equal as well."""
+    n, facts = 30, [(X + "part", t.TYPE, t.OWL + "FunctionalProperty"), (X + "part", t.RANGE, X + "Part"), (X + "Part", t.SUBCLASS, X + "Thing"), (X + "Other", t.OWL + "sameAs", X + "Part"), (X + "also", t.OWL + "sameAs", X + "part")]
+    facts += [(f"{X}line{i:02}", X + ("part" if i % 2 else "also"), f"{X}p{i + k:02}") for i in range(n) for k in (0, 1)] + [(f"{X}p{n:02}", t.TYPE, X + "Rare")]
+    g = Graph(spark.createDataFrame([("urn:g", s, 0, p, o, 0, None, None, "x") for s, p, o in facts], t.QUAD))
+    rows, real = [], reasoning.materialise
+
+    def spy(df, label):
+        out = real(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(reasoning, "materialise", spy)
+    got = [tuple(r) for r in reasoning.closed_types(g).collect()]
+    parts = {(f"{X}p{i:02}", X + c) for i in range(n + 1) for c in ("Part", "Other", "Thing", "Rare")}
+    assert len(got) == len(set(got)) and set(got) == parts | {(X + p, t.OWL + "FunctionalProperty") for p in ("part", "also")}
+    assert max(rows) < 5 * n
+    monkeypatch.undo()
+    closed = [(r.s, r.p, r.o) for r in reasoning.closure(g).triples.collect()]
+    assert len(closed) == len(set(closed)) and {(s, o) for s, p, o in closed if p == t.TYPE} == set(got)
+    assert {(s, p, o) for s, p, o in closed if s.startswith(X + "line")} == {(f"{X}line{i:02}", X + p, f"{X}p{j:02}") for i in range(n) for p in ("part", "also") for j in range(n + 1)}
