@@ -22,12 +22,17 @@ def ratio(a: Column, b: Column, digits: int = 3) -> Column:
 
 
 def _entities(g: Graph) -> DataFrame:
-    """``n`` and ``uses``: subjects, and non-literal objects other than types, with their degrees."""
-    ends = F.array(
-        F.struct(F.col("s").alias("n"), (F.col("p") != t.TYPE).cast("long").alias("d")),
-        F.when((F.col("p") != t.TYPE) & (F.col("o_kind") < 2), F.struct(F.col("o").alias("n"), F.lit(1).cast("long").alias("d"))),
-    )
-    return g.triples.select(F.explode(ends).alias("x")).where("x is not null").groupBy("x.n").agg(F.sum("x.d").alias("degree"))
+    """``n`` and ``degree``: subjects, and non-literal objects other than types.
+
+    Repeats are removed where the triples of a subject meet, so that a subject's degree leaves there as one row.
+    Types have no part in degrees: they only name subjects, however often they are stated.
+    """
+    stated = g.loose()
+    one = F.lit(1).cast("long").alias("d")
+    ends = F.array(F.struct(F.col("s").alias("n"), one), F.when(F.col("o_kind") < 2, F.struct(F.col("o").alias("n"), one)))
+    facts = stated.where(F.col("p") != t.TYPE).repartition("s").distinct().select(F.explode(ends).alias("x")).where("x is not null").select("x.n", "x.d")
+    typed = stated.of(t.TYPE).select(F.col("s").alias("n"), F.lit(0).cast("long").alias("d"))
+    return facts.unionByName(typed).groupBy("n").agg(F.sum("d").alias("degree"))
 
 
 def _entity_count(g: Graph) -> DataFrame:

@@ -55,6 +55,17 @@ def test_typing_without_a_join(spark):
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
 
 
+def test_degrees_leave_a_subject_as_one_row(spark):
+    """Repeated triples count once, types not at all; triples are moved by subject alone."""
+    g = graph(spark, ("a", "p", X + "b"), ("a", "p", X + "c"), ("a", "q", 1), ("b", t.TYPE, X + "B"), ("d", t.TYPE, X + "B"))
+    twice = Graph(g.quads.unionAll(g.quads))
+    assert tuple(metrics.graph_degrees(twice).first()) == (1.25, 3)
+    text = plan(metrics.graph_degrees(twice))
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and all("hashpartitioning(s#" in line or "hashpartitioning(n#" in line for line in moved)
+    assert not any("p#" in line for line in moved)
+
+
 def test_schema_is_found_without_storing_the_graph(spark):
     g = graph(spark, ("a", t.TYPE, X + "A"), ("a", "p", X + "b"), ("b", t.TYPE, X + "B"), ("c", "p", X + "b"), ("a", "q", 1))
     twice = Graph(g.quads.unionAll(g.quads))
